@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, packing, urlfilter
+from . import fingerprint, linededup, packing, urlfilter
 from .common import table
 
 #: (verdict, host, path)
@@ -25,6 +25,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.entries(spark, URL_RULES, BLOCKED_URLS))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_url_filter, op9_fingerprints, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op5_url_filter, op7_line_dedup, op9_fingerprints, op10_best_fit_packing)}
 
 
 _SQL_ENTRIES = ", ".join(f"('{h}', '{p}', '{v}', '{h}{p}')" for v, h, p in URL_RULES) + ", " + ", ".join(f"('{u}', '', 'block', NULL)" for u in BLOCKED_URLS)
@@ -54,5 +58,22 @@ FROM parts LEFT JOIN best ON parts.k = best.k AND r = 1
 """
 
 
+OP7_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines),
+repeated AS (
+  SELECT k, max(doc_id) AS top FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+judged AS (
+  SELECT doc_id, pos, line, coalesce(doc_id < top, false) AS gone FROM keyed LEFT JOIN repeated USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL}
+    return {"op5_url_filter": OP5_SQL, "op7_line_dedup": OP7_SQL}
