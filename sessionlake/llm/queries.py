@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, linededup, packing, urlfilter
+from . import fingerprint, linededup, packing, simhash, urlfilter
 from .common import table
 
 #: (verdict, host, path)
@@ -21,6 +21,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.entries(spark, URL_RULES, BLOCKED_URLS))
 
@@ -38,7 +42,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_url_filter, op7_line_dedup, op9_fingerprints, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op4_simhash, op5_url_filter, op7_line_dedup, op9_fingerprints, op10_best_fit_packing)}
 
 
 _SQL_ENTRIES = ", ".join(f"('{h}', '{p}', '{v}', '{h}{p}')" for v, h, p in URL_RULES) + ", " + ", ".join(f"('{u}', '', 'block', NULL)" for u in BLOCKED_URLS)
