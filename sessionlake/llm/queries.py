@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, linededup, packing, simhash, urlfilter
+from . import decontam, fingerprint, linededup, packing, quality, sharding, simhash, suffix_dedup, toxicity, urlfilter
 from .common import table
 
 #: (verdict, host, path)
@@ -21,6 +21,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("kept")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -29,10 +41,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.entries(spark, URL_RULES, BLOCKED_URLS))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(table(spark, sf_dir, "documents"))
 
@@ -42,7 +62,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op5_url_filter, op7_line_dedup, op9_fingerprints, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality, op4_simhash, op5_url_filter, op6_sharding, op7_line_dedup, op8_decontamination, op9_fingerprints, op10_best_fit_packing)}
 
 
 _SQL_ENTRIES = ", ".join(f"('{h}', '{p}', '{v}', '{h}{p}')" for v, h, p in URL_RULES) + ", " + ", ".join(f"('{u}', '', 'block', NULL)" for u in BLOCKED_URLS)
