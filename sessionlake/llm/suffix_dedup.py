@@ -48,7 +48,7 @@ MOST_IN_SHARD = 2048
 SHARD_BYTES = 1 << 21
 _LEAST = -(2**63)
 
-SPANS = "h long, doc_id long, text_hash long, start long, end long, d1 long, d2 long"
+SPANS = "h long, doc_id long, text_hash long, start long, end long, stop long, n int, d1 long, d2 long"
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -110,7 +110,11 @@ def _pieces(offsets: np.ndarray, length: int, block: int) -> Iterator[list[tuple
 
 
 def spans(docs: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
-    """SPANS of every document: windows start .. end, with the digest of the bytes from start to end + length."""
+    """SPANS of every document: windows start .. end, with the digest of the bytes from start to end + length.
+
+    Periodic text makes the same span again and again; successive spans with
+    equal bytes are one row, n of them, whose windows go on to stop.
+    """
     k = min(K, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +129,13 @@ def spans(docs: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
                 both = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())]), np.int64).reshape(-1, 2)
                 doc = np.asarray([i for i, _, _ in parts])[part]
                 shift = np.asarray([a for _, a, _ in parts])[part] - bounds[part]
-                cols = [h, ids[doc], text_hash[doc], first + shift, last + shift, both[:, 0], both[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h", "doc_id", "text_hash", "start", "end", "d1", "d2"])
+                if not len(h):
+                    continue
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (both[1:] != both[:-1]).any(1) | (part[1:] != part[:-1])])
+                at = np.nonzero(new)[0]
+                n = np.diff(np.concatenate([at, [len(h)]]))
+                cols = [h[at], ids[doc[at]], text_hash[doc[at]], (first + shift)[at], (last + shift)[at], (last + shift)[at + n - 1], n.astype(np.int32), both[at, 0], both[at, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h", "doc_id", "text_hash", "start", "end", "stop", "n", "d1", "d2"])
 
     return docs.mapInArrow(run, SPANS)
 
@@ -235,15 +244,21 @@ def _runs(member: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return member[first], start[first], start[last]
 
 
-JUDGED = "hot boolean, doc_id long, text_hash long, first long, last long, w1 long, w2 long, shard int"
+JUDGED = "hot boolean, doc_id long, text_hash long, first long, last long, bucket int, run binary"
+#: One window of a run: its digest in two halves, then where it stands.
+WINDOW = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("doc_id", "<i8"), ("text_hash", "<i8"), ("start", "<i8")])
 
 
 def judge_shards(rows: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Suffix arrays over rows (h, shard, n_shards, doc_id, text_hash, start, bytes), which come sorted by (h, shard).
 
-    Gives repeated windows as runs (hot false), and for minimizers that have
-    several shards also each remaining class of windows, by the digest of its bytes (hot true).
+    Gives JUDGED: repeated windows as runs of starts (hot false), and of
+    minimizers with several shards the classes of windows, as sorted runs of
+    WINDOW records, one for each bucket of digests (hot true).
     """
+    buckets = partitions(rows.sparkSession)
+    names = ["hot", "doc_id", "text_hash", "first", "last", "bucket", "run"]
+    types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(group: list[tuple]) -> pa.RecordBatch:
@@ -252,24 +267,21 @@ def judge_shards(rows: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -
             ids, hashes, base = (np.asarray([g[i] for g in group], np.int64) for i in (3, 4, 5))
             again = size[cls] > 1
             m, first, last = _runs(member[again], start[again])
-            single = ~again & (np.asarray([g[2] for g in group])[member] > 1)
+            out = [[False] * len(m), ids[m].tolist(), hashes[m].tolist(), (first + base[m]).tolist(), (last + base[m]).tolist(), [None] * len(m), [None] * len(m)]
+            # a window stands for each class: other shards of its minimizer may hold the class too
             heads = np.concatenate([[True], cls[1:] != cls[:-1]]) if len(cls) else np.zeros(0, bool)
-            # of a class that repeats within the shard one window stands for it, as other shards may hold it too
-            sent = np.nonzero(single | (again & heads & (np.asarray([g[2] for g in group])[member] > 1)))[0]
-            digests = b"".join(xxhash.xxh3_128_digest(members[i][s : s + length]) for i, s in zip(member[sent].tolist(), start[sent].tolist()))
-            both = np.frombuffer(digests, np.int64).reshape(-1, 2)
-            shard = np.asarray([g[1] for g in group], np.int32)
-            cols = [
-                np.concatenate([np.zeros(len(m), bool), np.ones(len(sent), bool)]),
-                np.concatenate([ids[m], ids[member[sent]]]),
-                np.concatenate([hashes[m], hashes[member[sent]]]),
-                np.concatenate([first + base[m], start[sent] + base[member[sent]]]),
-                np.concatenate([last + base[m], start[sent] + base[member[sent]]]),
-                np.concatenate([np.zeros(len(m), np.int64), both[:, 0]]),
-                np.concatenate([np.zeros(len(m), np.int64), both[:, 1]]),
-                np.concatenate([np.zeros(len(m), np.int32), shard[member[sent]]]),
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["hot", "doc_id", "text_hash", "first", "last", "w1", "w2", "shard"])
+            sent = np.nonzero(heads & (np.asarray([g[2] for g in group])[member] > 1))[0]
+            if len(sent):
+                digests = b"".join(xxhash.xxh3_128_digest(members[i][s : s + length]) for i, s in zip(member[sent].tolist(), start[sent].tolist()))
+                windows = np.zeros(len(sent), WINDOW)
+                windows["w1"], windows["w2"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+                windows["doc_id"], windows["text_hash"], windows["start"] = ids[member[sent]], hashes[member[sent]], start[sent] + base[member[sent]]
+                windows = windows[np.lexsort((windows["w2"], windows["w1"]))]
+                bucket = (windows["w1"] % np.uint64(buckets)).astype(np.int64)
+                for b in np.unique(bucket).tolist():
+                    for col, v in zip(out, (True, None, None, None, None, b, windows[bucket == b].tobytes())):
+                        col.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
         group, size = [], 0
         for batch in batches:
@@ -286,41 +298,45 @@ def judge_shards(rows: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -
     return rows.mapInArrow(run, JUDGED)
 
 
-def merge_shards(classes: DataFrame) -> DataFrame:
-    """doc_id, text_hash, first, last of windows that several shards of a minimizer have.
+def merge_shards(runs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, first, last of windows whose class several shards have.
 
-    Rows of JUDGED with hot true, one for each class and shard.  They are dealt
-    by digest and sorted within the task; each shard's run is then looked up in
-    the runs of the others by binary search.
+    runs: the hot rows of JUDGED.  A bucket's runs, one from each shard that
+    has any, meet in one task; each run is looked up in their union by binary
+    search, and what is there more often than in the run itself is a repeat.
     """
-    dealt = classes.repartition(partitions(classes.sparkSession), "w1").sortWithinPartitions("w1", "w2")
+    dealt = runs.select("bucket", "run").repartition(partitions(runs.sparkSession), "bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: pa.Table) -> pa.RecordBatch:
-            w1, w2, shard = (np.asarray(rows[n]) for n in ("w1", "w2", "shard"))
-            key = np.cumsum(np.concatenate([[False], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))  # rows are sorted: a number for each digest
-            found = np.zeros(len(key), bool)
-            # rows of the same key that are in a run and outside of it: a binary search over all, and over the shard's own run
-            total = np.searchsorted(key, key, "right") - np.searchsorted(key, key, "left")
-            for s in np.unique(shard):
-                own = np.nonzero(shard == s)[0]
-                run_keys = key[own]
-                inside = np.searchsorted(run_keys, run_keys, "right") - np.searchsorted(run_keys, run_keys, "left")
-                found[own] = total[own] > inside
-            kept = rows.filter(pa.array(found)).select(["doc_id", "text_hash", "first", "last"]).combine_chunks()
-            return kept.to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], kept.schema)
-
-        held: list[pa.RecordBatch] = []
+        def done(blobs: list[bytes]) -> pa.RecordBatch:
+            each = [np.frombuffer(b, WINDOW) for b in blobs]
+            union = np.concatenate(each)
+            union = union[np.lexsort((union["w2"], union["w1"]))]
+            places = np.cumsum(np.concatenate([[False], (union["w1"][1:] != union["w1"][:-1]) | (union["w2"][1:] != union["w2"][:-1])]))
+            found = []
+            for r in each:
+                left = np.searchsorted(union["w1"], r["w1"], "left")
+                # windows with equal first halves are next to each other; the second half decides within them
+                while len(far := np.nonzero(union["w2"][left] != r["w2"])[0]):
+                    left[far] += 1
+                n = np.searchsorted(places, places[left], "right") - np.searchsorted(places, places[left], "left")
+                found.append(r[n > 1])
+            got = np.concatenate(found)
+            docs = np.unique(got[["doc_id", "text_hash"]], return_inverse=True)
+            which, first, last = _runs(docs[1].reshape(-1), got["start"]) if len(got) else (np.zeros(0, int),) * 3
+            cols = (docs[0]["doc_id"][which], docs[0]["text_hash"][which], first, last)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in cols], names=["doc_id", "text_hash", "first", "last"])
+
+        now, blobs = None, []
         for batch in batches:
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            w1 = np.asarray(rows["w1"])
-            last = int(np.searchsorted(w1, w1[-1], "left")) if len(w1) else 0
-            if last:
-                yield done(rows.slice(0, last))
-                held = rows.slice(last).to_batches()
-        if held:
-            yield done(pa.Table.from_batches(held))
+            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("run").to_pylist()):
+                if b != now and blobs:
+                    yield done(blobs)
+                    blobs = []
+                now = b
+                blobs.append(blob)
+        if blobs:
+            yield done(blobs)
 
     return dealt.mapInArrow(run, "doc_id long, text_hash long, first long, last long")
 
@@ -333,15 +349,15 @@ def repeated_windows(docs: DataFrame, length: int = 400, most_in_shard: int = MO
     """doc_id, text_hash, first, last: runs of starts of windows that are found elsewhere too; docs as _keyed gives them."""
     spark = docs.sparkSession
     found = store(spans(docs, length, block), "spans")
-    twice = found.groupBy("h").agg(F.count("*").alias("spans")).filter(F.col("spans") > 1).select("h")
+    twice = found.groupBy("h").agg(F.sum("n").alias("spans")).filter(F.col("spans") > 1).select("h")
     all_spans = store(found.join(twice, "h", "left_semi"), "shared-spans")
     discard(spark, found._scratch_path)
     where = F.struct("doc_id", "text_hash", "start", "end")
-    classes = store(all_spans.groupBy("h", "d1", "d2").agg(F.count("*").alias("n"), F.min(where).alias("at")).select("h", "d1", "d2", "n", "at.*"), "span-classes")
+    classes = store(all_spans.groupBy("h", "d1", "d2").agg(F.sum("n").alias("n"), F.min(where).alias("at")).select("h", "d1", "d2", "n", "at.*"), "span-classes")
     by_h = classes.groupBy("h").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > 1)
     # equal spans: every window is a repeat
     copied = classes.filter(F.col("n") > 1).select("h", "d1", "d2")
-    whole = all_spans.join(copied, ["h", "d1", "d2"], "left_semi").select("doc_id", "text_hash", F.col("start").alias("first"), F.col("end").alias("last"))
+    whole = all_spans.join(copied, ["h", "d1", "d2"], "left_semi").select("doc_id", "text_hash", F.col("start").alias("first"), F.col("stop").alias("last"))
     # minimizers with several kinds of span: one span of each kind to a suffix array
     mixed = classes.join(by_h, "h").withColumn("n_shards", F.ceil(F.col("kinds") / most_in_shard).cast("int"))
     wanted = mixed.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("h", "start", "end", "n_shards", F.pmod("d2", F.col("n_shards")).cast("int").alias("shard"))).alias("wanted"))
