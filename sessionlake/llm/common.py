@@ -20,7 +20,18 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 
 
+#: Rows, and bytes, that Python workers get at a time, where the session says nothing else: long texts are kept from piling up.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+
+
+def light_batches(spark: SparkSession) -> None:
+    for key, value in ARROW_BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    light_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
