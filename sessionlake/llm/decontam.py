@@ -4,7 +4,7 @@ Texts are lower-cased; words are runs of ASCII letters and digits and of all
 characters beyond ASCII.  An item's n-grams are looked up in every document.
 How many documents hold each of them is counted over the whole corpus first;
 seeds are the n-grams that few documents hold and, in every stretch of an item,
-the rarest one whatever its count, so a passage that is everywhere keeps seeds.
+the rarest one that any holds, so a passage that is everywhere keeps seeds.
 Around each seed hit the item is aligned with the document's words (match +2,
 mismatch -1, gap -1); the score over its largest possible value (0 to 1)
 decides.  Edited and partial copies score by what is left of the item.
@@ -37,6 +37,8 @@ SEED_WORDS = 3
 STRETCH = 4
 #: An n-gram is rare if this share of all documents, or fewer, hold it.
 RARE = 1e-4
+#: As many documents make no n-gram frequent, however small the corpus.
+ALWAYS_RARE = 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Words of items in one slice (8 bytes each, and as much again for each seed).
@@ -113,12 +115,12 @@ class Items:
     def seeds(self, documents: dict[int, int], n_docs: int) -> Items:
         """Only the n-grams that serve as seeds. documents: of an n-gram's place, how many documents hold it."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for g, at in enumerate(self.seen_in):
-            for item, place in at:
-                key, value = (item, place // STRETCH), (documents.get(g, 0), g)
-                if key not in best or value < best[key]:
-                    best[key] = value
-        kept = sorted({g for _, g in best.values()} | {g for g in range(len(self.grams)) if documents.get(g, 0) <= RARE * n_docs})
+        for g, n in documents.items():  # n-grams that no document holds can't be met
+            for item, place in self.seen_in[g]:
+                key = (item, place // STRETCH)
+                if key not in best or (n, g) < best[key]:
+                    best[key] = (n, g)
+        kept = sorted({g for _, g in best.values()} | {g for g, n in documents.items() if n <= max(ALWAYS_RARE, RARE * n_docs)})
         return Items(self.ids, self.words, self.sizes, self.grams[kept] if kept else self.grams[:0], [self.seen_in[g] for g in kept])._sieved()
 
     def hits(self, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
