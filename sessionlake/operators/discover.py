@@ -100,3 +100,13 @@ def first_of_path(scans: DataFrame) -> DataFrame:
     """Of rows (full_path, root_no, ..) found under several roots, those of the first root."""
     first = scans.groupBy("full_path").agg(F.min("root_no").alias("root_no"))
     return scans.join(first, ["full_path", "root_no"])
+
+
+def candidates(scan: DataFrame) -> DataFrame:
+    """Scan rows with the most sessions first, then by path."""
+    return scan.orderBy(F.desc("sess"), "path")
+
+
+def without_sessions(repositories: DataFrame, scan: DataFrame) -> DataFrame:
+    """Paths of repositories that a scan has no sessions of."""
+    return repositories.select("path").distinct().join(scan.select("path"), "path", "left_anti")

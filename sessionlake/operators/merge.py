@@ -1,14 +1,16 @@
 """Keyed merge, session aggregation, and the Parquet store they live in.
 
-Plain Parquet has no MERGE, so a merge reads the old rows, unites them with the
-new ones, keeps the last row of each key and writes the result as a new
-version of the table; a pointer file then names the version.  One writer at a
-time.  Tables are partitioned by source, so a merge that brings one source
-rewrites that source's partition only.
+Plain Parquet has no MERGE.  A table is therefore cut into buckets by a hash of
+its session: a merge reads and rewrites only the buckets that the new rows fall
+into, keeps the last row of each key, and then commits a numbered state file
+that says which folder holds which bucket.  Readers see one state or the other.
+What a commit replaces is deleted by the commit after the next one, so frames
+that were read just before a merge stay readable.  One writer at a time.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +19,9 @@ from pyspark.sql import types as T
 
 from ..schema import EVENT_KEY, EVENT_SCHEMA, MANIFEST_SCHEMA, SESSION_KEY, SESSION_SCHEMA, TYPE_OF
 
+#: Buckets of a table, and files that one bucket's rows go to.
+BUCKETS, FILES_A_BUCKET = 64, 4
+
 
 def last_of_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
     """The row of each key that comes last in the order given (columns, descending)."""
@@ -53,70 +58,100 @@ def sessions_of(events: DataFrame, files: DataFrame) -> DataFrame:
 
 
 class TableVersions:
-    """A Parquet table whose versions are folders; `_current` names the one in use."""
+    """A Parquet table in buckets (column bucket_by; None: one bucket), with numbered states; how many is settled when it is made."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, partition_by: str | None = None):
-        self.spark, self.path, self.schema, self.partition_by = spark, path, schema, partition_by
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, bucket_by: str | None = None, buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.bucket_by = spark, path, schema, bucket_by
+        state = self.state()
+        self.buckets = state["of"] if state else buckets if bucket_by else 1
 
     def _fs(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def current(self) -> str | None:
-        fs, at = self._fs(f"{self.path}/_current")
+    def _numbers(self) -> list[int]:
+        fs, at = self._fs(f"{self.path}/_state")
         if not fs.exists(at):
+            return []
+        names = (x.getPath().getName() for x in fs.listStatus(at))
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+
+    def state(self) -> dict | None:
+        """{"n": number, "of": how many buckets, "buckets": {bucket: folder}, "replaced": [folders]}; None before the first commit."""
+        numbers = self._numbers()
+        if not numbers:
             return None
+        fs, at = self._fs(f"{self.path}/_state/v{numbers[-1]:08d}.json")
         stream = fs.open(at)
         try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def read(self) -> DataFrame:
-        version = self.current()
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}").select(*self.schema.names)
-
-    def replace(self, df: DataFrame, sort_by: list[str] | None = None) -> None:
-        """Write df as the next version, point to it, then delete the version before."""
-        old, version = self.current(), f"v-{uuid.uuid4().hex}"
-        rows = df.select(*self.schema.names)
-        if self.partition_by:
-            rows = rows.repartition(self.partition_by, *(c for c in (sort_by or [])[:1])).sortWithinPartitions(self.partition_by, *(sort_by or []))
-        writer = rows.write
-        (writer.partitionBy(self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{version}")
-        fs, beside = self._fs(f"{self.path}/_next-{version}")
-        stream = fs.create(beside, True)
+    def _commit(self, old: dict | None, folders: dict[str, str]) -> None:
+        before = old["buckets"] if old else {}
+        n = old["n"] + 1 if old else 1
+        new = {"n": n, "of": self.buckets, "buckets": before | folders, "replaced": sorted(before[b] for b in folders if b in before)}
+        fs, beside = self._fs(f"{self.path}/_state/.{uuid.uuid4().hex}.tmp")
+        stream = fs.create(beside, False)
         try:
-            stream.write(bytearray(version.encode()))
+            stream.write(bytearray(json.dumps(new).encode()))
         finally:
             stream.close()
-        _, at = self._fs(f"{self.path}/_current")
-        fs.delete(at, False)
-        if not fs.rename(beside, at):
-            raise OSError(f"can't point {at} to {version}")
-        if old:
-            fs.delete(self._fs(f"{self.path}/{old}")[1], True)
+        _, at = self._fs(f"{self.path}/_state/v{n:08d}.json")
+        if fs.exists(at) or not fs.rename(beside, at):
+            fs.delete(beside, False)
+            raise OSError(f"another writer has committed {at}")
+        for folder in old["replaced"] if old else []:
+            fs.delete(self._fs(f"{self.path}/{folder}")[1], True)
+        for number in self._numbers()[:-2]:
+            fs.delete(self._fs(f"{self.path}/_state/v{number:08d}.json")[1], False)
+
+    def create(self) -> None:
+        if self.state() is None:
+            self._commit(None, {})
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        state = self.state()
+        folders = [f for b, f in (state["buckets"] if state else {}).items() if buckets is None or int(b) in buckets]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{f}" for f in sorted(folders)))
+
+    def merge(self, new: DataFrame, key: list[str], order: list[str], sort_by: list[str]) -> None:
+        """Upsert: of the new rows the last of each key in the order given, in place of an old row with that key."""
+        own = F.pmod(F.xxhash64(self.bucket_by), F.lit(self.buckets)).cast("int") if self.bucket_by else F.lit(0)
+        rows = new.select(*self.schema.names)
+        touched = sorted(r[0] for r in rows.select(own).distinct().collect())  # as many as there are buckets, at most
+        if not touched:
+            return self.create()
+        merged = merge_rows(self.read(touched), rows, key, order).withColumn("__bucket", own)
+        # a bucket goes to a few files, so that one long session doesn't make one long task
+        dealt = merged.repartition("__bucket", F.pmod(F.xxhash64(*key), F.lit(FILES_A_BUCKET))).sortWithinPartitions("__bucket", *sort_by)
+        version = f"v-{uuid.uuid4().hex}"
+        dealt.write.partitionBy("__bucket").parquet(f"{self.path}/{version}")
+        self._commit(self.state(), {str(b): f"{version}/__bucket={b}" for b in touched})
 
 
 class Store:
-    """Sessions, events and the manifest of ingested sources below one folder."""
+    """Sessions, events and the manifest of ingested sources below one folder.
+
+    buckets: of a new store; some hundred MB of events a bucket is about right.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
-        self._sessions = TableVersions(spark, f"{self.path}/sessions", SESSION_SCHEMA, "source")
-        self._events = TableVersions(spark, f"{self.path}/events", EVENT_SCHEMA, "source")
+        self._sessions = TableVersions(spark, f"{self.path}/sessions", SESSION_SCHEMA, "id", buckets)
+        self._events = TableVersions(spark, f"{self.path}/events", EVENT_SCHEMA, "session_id", buckets)
         self._manifest = TableVersions(spark, f"{self.path}/manifest", MANIFEST_SCHEMA)
 
     def exists(self) -> bool:
-        return self._sessions.current() is not None
+        return self._sessions.state() is not None
 
     def create(self) -> None:
         """Empty tables where there are none yet."""
         for t in (self._sessions, self._events, self._manifest):
-            if t.current() is None:
-                t.replace(self.spark.createDataFrame([], t.schema))
+            t.create()
 
     def sessions(self) -> DataFrame:
         return self._sessions.read()
@@ -129,6 +164,6 @@ class Store:
 
     def merge(self, events: DataFrame, sessions: DataFrame, sources: DataFrame) -> None:
         """Upsert sessions and events, then note the sources as ingested (last, so that a failed merge is tried again)."""
-        self._events.replace(merge_rows(self.events(), events, EVENT_KEY, ["line_no", "block_pos"]), ["session_id", "timestamp", "line_no", "block_pos"])
-        self._sessions.replace(merge_rows(self.sessions(), sessions, SESSION_KEY, ["ended_at"]), ["id"])
-        self._manifest.replace(merge_rows(self.manifest(), sources.select(*MANIFEST_SCHEMA.names), ["source_key"], ["mtime"]))
+        self._events.merge(events, EVENT_KEY, ["line_no", "block_pos"], ["source", "session_id", "timestamp", "line_no", "block_pos"])
+        self._sessions.merge(sessions, SESSION_KEY, ["ended_at"], ["source", "id"])
+        self._manifest.merge(sources, ["source_key"], ["mtime"], ["source_key"])

@@ -30,12 +30,14 @@ def load(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
         if strict:
             raise ValueError(f"no registry: {path}")
         return spark.createDataFrame([], REGISTRY_SCHEMA)
-    schema = T.StructType([T.StructField("projects", T.ArrayType(REGISTRY_SCHEMA)), T.StructField("_bad", T.StringType())])
-    doc = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path, multiLine=True).cache()
-    if strict and doc.filter(F.col("_bad").isNotNull()).count():
-        raise ValueError(f"unreadable registry: {path}")
-    rows = doc.filter(F.col("_bad").isNull()).select(F.explode("projects").alias("p")).select("p.*").filter(F.col("path") != "")
-    return rows.dropDuplicates(["path"])
+    if strict:
+        try:
+            with open(path, encoding="utf-8") as f:
+                json.load(f)
+        except ValueError as e:
+            raise ValueError(f"unreadable registry: {path}") from e
+    doc = spark.read.schema(T.StructType([T.StructField("projects", T.ArrayType(REGISTRY_SCHEMA))])).json(path, multiLine=True)
+    return doc.select(F.explode("projects").alias("p")).select("p.*").filter(F.col("path") != "").dropDuplicates(["path"])
 
 
 def save(registry: DataFrame, folder: str, now: str | None = None) -> None:

@@ -12,7 +12,8 @@ from ..schema import STANDARD_TOOLS, TAXONOMY
 
 
 def stats(sessions: DataFrame, events: DataFrame) -> DataFrame:
-    return sessions.agg(F.count("*").alias("sessions")).crossJoin(events.agg(F.count("*").alias("events")))  # one row each
+    ones = sessions.select(F.lit(1).alias("s"), F.lit(0).alias("e")).unionByName(events.select(F.lit(0).alias("s"), F.lit(1).alias("e")))
+    return ones.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("sessions"), F.coalesce(F.sum("e"), F.lit(0)).alias("events"))
 
 
 def taxonomy(spark) -> DataFrame:
@@ -56,8 +57,7 @@ def tool_histogram(sessions: DataFrame, events: DataFrame, n: int | None = None)
     """tool_name, sess_no, cnt, total, is_standard for the n most recent sessions; standard tools first, then by name."""
     picked = numbered_sessions(sessions, n).select(F.col("id").alias("session_id"), F.col("num").alias("sess_no"))
     counts = tool_calls(events).select("session_id", "tool_name").join(picked, "session_id").groupBy("tool_name", "sess_no").agg(F.count("*").alias("cnt"))
-    totals = counts.groupBy("tool_name").agg(F.sum("cnt").alias("total"))
-    out = counts.join(totals, "tool_name").withColumn("is_standard", is_standard(F.col("tool_name")))
+    out = counts.withColumns({"total": F.sum("cnt").over(Window.partitionBy("tool_name")), "is_standard": is_standard(F.col("tool_name"))})
     return out.select("tool_name", "sess_no", "cnt", "total", "is_standard").orderBy(F.desc("is_standard"), "tool_name", "sess_no")
 
 

@@ -397,7 +397,7 @@ def project_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.project_metrics(D.canonical(found, "/w"), a, b, D.store_metrics(kv), "/w")
 
 
-@query("SELECT sum(n) AS sessions, count(*) AS stores FROM (SELECT role, count(DISTINCT conv_id) AS n FROM conversations GROUP BY role)")
+@query("SELECT CAST(sum(n) AS BIGINT) AS sessions, count(*) AS stores FROM (SELECT role, count(DISTINCT conv_id) AS n FROM conversations GROUP BY role)")
 def distinct_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = table(spark, sf_dir, "conversations").groupBy("role").agg(F.countDistinct("conv_id").alias("n"))
     return per.agg(F.sum("n").alias("sessions"), F.count("*").alias("stores"))
@@ -415,6 +415,18 @@ def first_root_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.first_of_path(rows).select(F.col("full_path").alias("path"), "root_no")
 
 
+@query("SELECT DISTINCT '/' || source || '/' || lang AS path FROM documents WHERE n_chars < 200 EXCEPT SELECT '/' || source || '/' || lang FROM documents WHERE n_chars > 8000")
+def repositories_without_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("/"), "source", F.lit("/"), "lang"))
+    return D.without_sessions(d.filter("n_chars < 200"), d.filter("n_chars > 8000"))
+
+
+@query("SELECT path, sess, row_number() OVER (ORDER BY sess DESC, path) AS place FROM (SELECT '/' || source || '/' || lang AS path, count(*) AS sess FROM documents GROUP BY 1)")
+def candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scan = table(spark, sf_dir, "documents").groupBy(F.concat(F.lit("/"), "source", F.lit("/"), "lang").alias("path")).agg(F.count("*").alias("sess"))
+    return D.candidates(scan).withColumn("place", F.row_number().over(Window.orderBy(F.desc("sess"), "path")).cast("long"))  # a row for each project
+
+
 @query("SELECT page_id, regexp_replace(regexp_extract(url, '([^/]+)$', 1), '(.)\\.[^.]+$', '\\1') AS session_id FROM pages")
 def session_id_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", P.session_id(F.col("url")).alias("session_id"))
