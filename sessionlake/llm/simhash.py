@@ -15,7 +15,9 @@ Documents with the same fingerprint are one node.  Nodes meet in buckets:
 In a bucket each node has a row in a table of its distances to reference
 fingerprints (pivots); a pair whose rows differ by more than the radius in any
 coordinate is discarded, which the triangle inequality allows, and the Hamming
-distance of the others is verified.  Links leave a task as a spanning forest.
+distance of the others is verified.  Links leave a task as a spanning forest,
+or, where the texts' own similarity is to be checked as well, as one of
+shortest links: the shingle sets of their documents are then compared exactly.
 Buckets above MOST_IN_TASK nodes are dealt out as blocks of a grid, so that no
 pair is left out and no task gets a whole hot bucket.
 
@@ -51,6 +53,8 @@ N_PIVOTS = 16
 MOST_IN_TASK = 4096
 #: A table of up to so many hot buckets (16 bytes each) is broadcast; a longer one is shuffled.
 MOST_BROADCAST_BUCKETS = 200_000
+#: The same for the nodes that near pairs name (24 bytes each).
+MOST_BROADCAST_NODES = 500_000
 _STEP = 1024
 
 
@@ -85,19 +89,21 @@ def planes_schema(planes: int) -> str:
 
 
 def fingerprints(docs: DataFrame, words: int, planes: int = 1) -> DataFrame:
-    """doc_id, f0.. of every document (64 bits each, as signed longs)."""
+    """doc_id, text_hash, f0.. of every document (64 bits each, as signed longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))
+            texts = batch.column("text")
+            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
             start = np.cumsum(sizes) // 1_000_000  # about a megabyte of text at a time
             for i, j in itertools.pairwise([0, *(np.nonzero(np.diff(start))[0] + 1), len(sizes)]):
                 if i == j:
                     continue
-                got = fingerprints_of(batch.column(1).slice(i, j - i).to_pylist(), words, planes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(got[:, p]) for p in range(planes))], names=["doc_id", *(f"f{p}" for p in range(planes))])
+                got = fingerprints_of(texts.slice(i, j - i).to_pylist(), words, planes).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "text_hash")), *(pa.array(got[:, p]) for p in range(planes))], names=["doc_id", "text_hash", *(f"f{p}" for p in range(planes))])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {planes_schema(planes)}")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, f"doc_id long, text_hash long, {planes_schema(planes)}")
 
 
 def block_keys(n: int, radius: int):
@@ -209,8 +215,87 @@ def compare(groups: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -
     return label
 
 
-def links(nodes: DataFrame, planes: int, keys, radius: int) -> DataFrame:
-    """u, v: links that join exactly the nodes (node, f0..) within the radius that share a key; a spanning forest from each task."""
+def _spanning(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) at distance d make a minimum spanning forest of n rows (Kruskal)."""
+    parent = list(range(n))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for k in np.lexsort((j, i, d)).tolist():
+        x, y = top(int(i[k])), top(int(j[k]))
+        if x != y:
+            parent[y] = x
+            kept.append(k)
+    return np.asarray(kept, int)
+
+
+def near_pairs(groups: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the same (sorted) group within the radius: a minimum spanning forest of each group.
+
+    Rows that are linked at some distance are also joined by the forest's links
+    up to that distance, so a stricter test of the links that are left keeps
+    together what belongs together, and their number grows with the rows, not the pairs.
+    """
+    n = len(groups)
+    starts = np.concatenate([[0], np.nonzero(np.diff(groups))[0] + 1])
+    sizes = np.diff(np.concatenate([starts, [n]]))
+    table = pivot_table(fp)
+    a, b = [np.zeros(0, int)], [np.zeros(0, int)]
+    small = sizes <= 64
+    for i, j in _pairs_within(sizes[small], starts[small]):
+        ok = (side[i] == 0) | (side[i] != side[j])
+        i, j = _verified(fp, table, i[ok], j[ok], radius)
+        a.append(i)
+        b.append(j)
+    a, b = np.concatenate(a), np.concatenate(b)
+    kept = _spanning(n, a, b, np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int16))
+    a, b = [a[kept]], [b[kept]]
+    for s, m in zip(starts[~small], sizes[~small]):
+        own, label = np.arange(s, s + m), np.arange(m)
+        while True:  # each tree's shortest link to another tree, until there is none (Boruvka)
+            near = [_nearest_elsewhere(fp[own], table[own], side[own], label, x, radius) for x in range(0, m, 256)]
+            i, j, d = (np.concatenate(c) for c in zip(*near))
+            if not len(i):
+                break
+            order = np.lexsort((j, i, d))
+            i, j, d = i[order], j[order], d[order]
+            _, first = np.unique(label[i], return_index=True)
+            i, j, d = i[first], j[first], d[first]
+            kept = _spanning(m, label[i], label[j], d)
+            a.append(own[i[kept]])
+            b.append(own[j[kept]])
+            label = forest(m, label[i], label[j])[label]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _nearest_elsewhere(fp: np.ndarray, table: np.ndarray, side: np.ndarray, label: np.ndarray, x: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of 256 rows from x on those with a row of another tree within the radius: (row, the nearest such row, distance)."""
+    mine = np.arange(x, min(x + 256, len(fp)))
+    least, at = np.full(len(mine), radius + 1, np.int16), np.zeros(len(mine), int)
+    for y in range(0, len(fp), _STEP):
+        theirs = slice(y, y + _STEP)
+        out = label[mine][:, None] == label[theirs][None, :]
+        out |= (side[mine][:, None] == side[theirs][None, :]) & (side[mine] != 0)[:, None]
+        out |= np.abs(table[mine, 0][:, None] - table[theirs, 0][None, :]) > radius  # discarded by the first pivot
+        far = np.bitwise_count(fp[mine][:, None, :] ^ fp[theirs][None, :, :]).sum(2, dtype=np.int16)
+        far[out] = radius + 1
+        k = far.argmin(1)
+        d = far[np.arange(len(mine)), k]
+        at, least = np.where(d < least, y + k, at), np.minimum(d, least)
+    near = least <= radius
+    return mine[near], at[near], least[near]
+
+
+def links(nodes: DataFrame, planes: int, keys, radius: int, pairs: bool = False) -> DataFrame:
+    """u, v: links between the nodes (node, f0..) within the radius that share a key.
+
+    A spanning forest of them from each task, which joins exactly what they
+    join; or with `pairs` a minimum spanning forest (see near_pairs), u below v.
+    """
     names = [f"f{p}" for p in range(planes)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +329,9 @@ def links(nodes: DataFrame, planes: int, keys, radius: int) -> DataFrame:
             rows = rows.filter(pa.array(same | np.concatenate([same[1:], [False]])))
             node = np.asarray(rows["node"])
             fp = np.stack([np.asarray(rows[n]).view(np.uint64) for n in names], 1)
+            if pairs:
+                i, j = near_pairs(np.asarray(rows["bucket"]), fp, np.asarray(rows["side"]), radius)
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["u", "v"])
             label = compare(np.asarray(rows["bucket"]), fp, np.asarray(rows["side"]), radius)
             linked = label != np.arange(len(label))
             return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["u", "v"])
@@ -264,24 +352,60 @@ def links(nodes: DataFrame, planes: int, keys, radius: int) -> DataFrame:
     return placed.mapInArrow(join, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int, radius: int, planes: int = 1, agree: float | None = None) -> DataFrame:
-    """doc_id, f0.., component_id of every document.
+def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the pairs (u, v) those whose documents' sets of shingles have a Jaccard similarity of `similarity` or more.
+
+    nodes: node, rep (doc_id and text_hash of a document with the fingerprint).
+    """
+    met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    reps = store(nodes.join(met, "node").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")), "met-nodes")
+    few = reps.count() <= MOST_BROADCAST_NODES
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(np.asarray(shingle_hashes(t.as_py(), words), np.uint64)).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("rep_id"), F.xxhash64(F.col("text").cast("string")).alias("rep_hash"), F.col("text").cast("string").alias("text"))
+    texts = keyed.join(F.broadcast(reps) if few else reps, ["rep_id", "rep_hash"]).select("node", "text")
+    sets = store(texts.mapInArrow(shingles, "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("a"), batch.column("b")):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(judge, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, words: int, radius: int, planes: int = 1, agree: float | None = None, similarity: float | None = None) -> DataFrame:
+    """doc_id, text_hash, f0.., component_id and head (the hash of the component's first text) of every document.
 
     radius: most differing bits of a link.  agree: None for the exact search on
     64 bits; else the share of bits in which a pair at the threshold agrees.
+    similarity: if given, links also need this Jaccard similarity of shingles.
     """
     names = [f"f{p}" for p in range(planes)]
     of = store(fingerprints(docs, words, planes), "fingerprints")
     node = F.col("f0") if planes == 1 else F.xxhash64(*names)
-    nodes = store(of.groupBy(*names).agg(F.min(F.coalesce("doc_id", F.lit(_LEAST))).alias("least")).withColumn("node", node), "fingerprint-nodes")
+    rep = F.min(F.struct(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc_id"), "text_hash"))
+    nodes = store(of.groupBy(*names).agg(rep.alias("rep")).withColumn("node", node), "fingerprint-nodes")
     n = nodes.count()
     keys = block_keys(n, radius) if agree is None else sampled_keys(n, planes, agree)
-    roots = components(links(nodes, planes, keys, radius))
-    rooted = nodes.join(roots, "node")
-    heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
-    joined = rooted.join(heads, "root").select("node", "head")
-    named = nodes.join(joined, "node", "left").select(*names, F.nullif(F.coalesce("head", "least"), F.lit(_LEAST)).alias("component_id"))
-    return of.join(named, names).select("doc_id", *names, "component_id")
+    found = links(nodes, planes, keys, radius, pairs=similarity is not None)
+    if similarity is not None:
+        found = similar_links(docs, nodes, store(found, "near-pairs"), words, similarity)
+    rooted = nodes.join(components(found), "node")
+    heads = rooted.groupBy("root").agg(F.min("rep").alias("first"))
+    joined = rooted.join(heads, "root").select("node", "first")
+    named = nodes.join(joined, "node", "left").select(*names, F.coalesce("first", "rep").alias("first"))
+    return of.join(named, names).select("doc_id", "text_hash", *names, F.nullif("first.doc_id", F.lit(_LEAST)).alias("component_id"), F.col("first.text_hash").alias("head"))
 
 
 def report(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -296,12 +420,14 @@ def bits_at(similarity: float) -> float:
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4) -> DataFrame:
-    """Rows of docs without near copies: of each component the document with the least doc_id stays (all rows of that id).
+    """Rows of docs without near copies: of each component the first document (least doc_id) stays; rows that repeat it stay with it.
 
-    The radius is where fingerprints of `similarity` lie on average; long
-    fingerprints keep the estimate's standard error near 0.05.
+    Documents are linked if their sets of shingles have the similarity or more.
+    Candidates come from fingerprints: the radius is two standard errors beyond
+    where a pair at the threshold lies on average.
     """
-    share = bits_at(similarity)
-    got = near_duplicates(docs, words, round(share * 64 * planes), planes, 1 - share)
-    heads = got.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__head")).distinct()
-    return docs.join(heads, docs["doc_id"].cast("long").eqNullSafe(F.col("__head")), "left_semi")
+    share, bits = bits_at(similarity), 64 * planes
+    radius = round(share * bits + 2 * math.sqrt(share * (1 - share) * bits))
+    got = near_duplicates(docs, words, radius, planes, 1 - share, similarity)
+    heads = got.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("head"))).select(F.col("doc_id").alias("__head"), F.col("head").alias("__hash")).distinct()
+    return docs.join(heads, docs["doc_id"].cast("long").eqNullSafe(F.col("__head")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hash")), "left_semi")
