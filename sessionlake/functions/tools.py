@@ -33,8 +33,8 @@ def _member(raw: Column, tool: str, field: str) -> Column:
         is_text = F.schema_of_variant(value) == "STRING"
         quoted = F.regexp_replace(F.to_json(F.array(truncate(text, limit))), r"^\[|\]$", "")
         json = F.when(is_text & (F.length(text) > limit), quoted).otherwise(json)
-    present = F.array_contains(F.json_object_keys(F.to_json(raw)), field)
-    return F.when(present, F.concat(F.lit(f'"{field}":'), F.coalesce(json, F.lit("null"))))
+    # a member that is JSON null is a value, one that is missing is none
+    return F.when(value.isNotNull(), F.concat(F.lit(f'"{field}":'), F.coalesce(json, F.lit("null"))))
 
 
 def tool_input(name: Column, raw: Column, raw_json: Column) -> Column:
