@@ -44,8 +44,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that this process has made for intermediate tables, in order.
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made() -> int:
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete intermediate tables made since a mark (made()), once what was built on them has been written."""
+    gone = [p for p in _MADE[since:] if p not in keep]
+    _MADE[since:] = [p for p in _MADE[since:] if p in keep]
+    for path in gone:
+        discard(spark, path)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

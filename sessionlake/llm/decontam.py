@@ -65,6 +65,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix((sums[stop] - sums[start]) * back[start]), np.searchsorted(offsets, start, "right") - 1
 
 
+def long_word_hashes(data: np.ndarray, block: int) -> np.ndarray:
+    """Word hashes of one long document, made for about `block` bytes at a time; cuts fall between words."""
+    out, a = [], 0
+    while a < len(data):
+        b = min(len(data), a + block)
+        while b < len(data):
+            gaps = np.nonzero(~_WORD_BYTE[data[b : b + block]])[0]
+            b = min(len(data), b + (int(gaps[0]) if len(gaps) else block))
+            if len(gaps):
+                break
+        out.append(word_hashes(data[a:b], np.asarray([0, b - a]))[0])
+        a = b
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     h = np.full(max(0, len(words) - n + 1), np.uint64(n))
     for i in range(n):
@@ -76,6 +91,10 @@ def hashed_texts(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
     """(first row, last row, word hashes, row of each word) in blocks of a text column."""
     data, offsets = text_buffers(pc.utf8_lower(arr.cast(pa.string()) if not pa.types.is_large_string(arr.type) else arr))
     for i, j in blocks(offsets, BLOCK):
+        if offsets[j] - offsets[i] > 4 * BLOCK:  # one long document
+            words = long_word_hashes(data[offsets[i] : offsets[j]], BLOCK)
+            yield i, j, words, np.full(len(words), i)
+            continue
         words, row = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         yield i, j, words, row + i
 

@@ -37,6 +37,8 @@ WIDTH = DIMS + 256 + 1
 #: Rated documents that are sampled for the fit, by hash of doc_id.
 MOST_RATED = 6_000
 STEPS, RATE = 150, 0.15
+#: Bytes that are scored at a time.
+BLOCK = 1 << 20
 #: L2 penalty of each trigram's weight (bytes and repetition have none), and what keeps rare trigrams from being scaled up.
 PENALTY, FLOOR = 3e-3, 1e-2
 
@@ -87,6 +89,16 @@ class Model:
         return z + self.weights[-1] * repeats
 
 
+    def linear_long(self, data: np.ndarray, repeats: float, block: int) -> float:
+        """w.x of one long document, `block` bytes at a time."""
+        ones = tri = 0.0
+        for a in range(0, len(data), block):
+            ones += self.weights[DIMS : DIMS + 256][data[a : a + block]].sum()
+            if len(part := data[a : a + block + 2]) > 2:
+                tri += self.weights[:DIMS][trigram_places(part)].sum()
+        return ones / max(1, len(data)) + tri / max(1, len(data) - 2) + self.weights[-1] * repeats
+
+
 def fit(places: np.ndarray, values: np.ndarray, ends: np.ndarray, ratings: np.ndarray) -> Model:
     """Adam on the penalised likelihood, over all sampled documents in each step; features are scaled by their root mean square."""
     grades, y = np.unique(ratings, return_inverse=True)
@@ -157,9 +169,11 @@ def with_grades(docs: DataFrame, model: Model, grade: int | None = None, prefix:
             text = batch.column(text_at)
             data, offsets = text_buffers(text)
             expected, tail = np.full(batch.num_rows, float(m.grades[0])), np.ones(batch.num_rows)
-            for i, j in blocks(offsets, 1 << 20) if len(steps) else ():
+            for i, j in blocks(offsets, BLOCK) if len(steps) else ():
                 repeats = np.asarray([repetition(t) for t in text.slice(i, j - i).to_pylist()])
-                tails = m.tails(m.linear(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], repeats))
+                part = data[offsets[i] : offsets[j]]
+                z = np.asarray([m.linear_long(part, repeats[0], BLOCK)]) if len(part) > 4 * BLOCK else m.linear(part, offsets[i : j + 1] - offsets[i], repeats)
+                tails = m.tails(z)
                 expected[i:j] += tails @ steps
                 tail[i:j] = tails[:, k]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail)], names=[*names, f"{prefix}expected_grade", f"{prefix}tail_probability"])
