@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.llm import decontam, linededup, packing, quality, simhash
-from sessionlake.llm.common import store, table
+from sessionlake.llm.common import made, release, store, table
 from sessionlake.llm.queries import tokenizer_path
 
 
@@ -56,5 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark = made()
         docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, mark, keep=(docs._scratch_path,))  # what the stage itself had put down
     return STAGES[-1][1](spark, docs, sf_dir)
