@@ -3,8 +3,9 @@
 A canonical URL is host (A-Z lower-cased) followed by path, without scheme,
 query and fragment.  A listed entry covers its host and all subdomains, and all
 paths that start with its own; an entry without a path covers the whole host.
-A page's possible entries are its host's suffixes at label ends, each with the
-page's path cut at every length that listed paths have.  Their hashes go
+A page's possible entries are its host's suffixes at label ends (up to the most
+labels that a listed host has), each with the page's path cut at every length
+that listed paths have.  Their hashes go
 through the blocked Bloom filter (one 512-bit block for each key); what passes
 is joined with the list on the full string, which removes false positives, and
 the longest entry that is left decides.
@@ -94,13 +95,15 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow", most_filt
     """
     spark: SparkSession = pages.sparkSession
     listed = listed.select("entry", "host", "path", "verdict", "shown").dropDuplicates(["entry"])
-    about = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths")).first()  # as many lengths as listed paths have
+    about = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths"), F.max(F.size(F.split("host", r"\."))).alias("labels")).first()  # as many lengths as listed paths have
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     if not about["n"]:
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     lengths = F.array(*[F.lit(x) for x in sorted(about["lengths"])])
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # suffixes longer than any listed host can't be listed
+    first = F.greatest(F.lit(1), F.size(labels) - about["labels"] + 1)
+    suffixes = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     cuts = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform("suffixes", lambda s: F.transform("cuts", lambda p: F.concat(s, p))))
     probes = rows.withColumns({"suffixes": suffixes, "cuts": cuts}).withColumn("keys", F.array_distinct(keys))
