@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, store
 
 #: Stands for a null doc_id where ids are put in order: below every other.
 _LEAST = -(2**63)
+#: A list of up to so many documents in shared buckets (24 bytes each) is broadcast to pick their texts; a longer one is shuffled.
+MOST_BROADCAST_DOCS = 500_000
 
 
 def canonical(text: str) -> bytes:
@@ -46,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             forms = [canonical(t.as_py() or "") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(f) for f in forms]), pa.array(forms, pa.binary())], names=["doc_id", "fingerprint", "form"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(f) for f in forms], pa.string()), pa.array(forms, pa.binary())], names=["doc_id", "fingerprint", "form"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, form binary")
 
@@ -58,10 +60,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grouping on them as well, which pre-aggregates in each task; only one row
     for each distinct form and task is shuffled, so a hot group stays small.
     """
-    forms = fingerprints(docs, id_col, text_col)
+    forms = store(fingerprints(docs, id_col, text_col).select("doc_id", "fingerprint", "form", F.sha2("form", 256).alias("bytes_id")), "canonical-forms")
     # classes of equal bytes within each bucket; sha-256 of the bytes tells apart the classes of a bucket when rows look theirs up
-    classes = forms.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id")).select("fingerprint", F.sha2("form", 256).alias("bytes_id"), "group_id")
-    return forms.select("doc_id", "fingerprint", F.sha2("form", 256).alias("bytes_id")).join(classes, ["fingerprint", "bytes_id"]).select("doc_id", "fingerprint", "group_id")
+    classes = forms.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.first("bytes_id").alias("bytes_id")).select("fingerprint", "bytes_id", "group_id")
+    return forms.select("doc_id", "fingerprint", "bytes_id").join(classes, ["fingerprint", "bytes_id"]).select("doc_id", "fingerprint", "group_id")
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
@@ -77,7 +79,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"))
     # n - 1 range bounds from the whole id column, whatever its size
     cuts = sorted(set(ids.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []))
-    lower = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>")
+    lower = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
     # range 0 has the largest ids
     part = (F.lit(len(cuts)) - F.size(F.filter(lower, lambda c: F.col("key") > c))).cast("int")
     heads = {r["part"]: r["head"] for r in ids.select(part.alias("part"), "key").groupBy("part").agg(F.max("key").alias("head")).collect()}  # a row for each range
@@ -87,7 +89,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     if not order:
         where = F.array(part)
     else:
-        extra = F.create_map(*[x for k, p in before.items() for x in (F.lit(k), F.lit(p + n))])[F.col("key")]
+        extra = F.create_map(*[x for k, p in before.items() for x in (F.lit(k).cast("long"), F.lit(p + n))])[F.col("key")]
         where = F.array_compact(F.array(part, extra))
     # the copy of a head comes as range + n: it sorts last there and only serves as the next document
     dealt = rows.select(F.explode(where).alias("to"), "key", "doc_id", "text").select(F.pmod("to", F.lit(n)).cast("int").alias("to"), (F.col("to") >= n).alias("copy"), "key", "doc_id", "text")
@@ -118,6 +120,24 @@ def with_edits(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """with_edits, and group_id: the smallest doc_id of the documents with the same canonical bytes.
+
+    Fingerprints make the buckets.  Only texts of buckets with several documents
+    are read again, and their bytes compared by grouping on them.
+    """
+    got = store(with_edits(docs), "fingerprints")
+    ids = got.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("key"), "fingerprint")
+    shared = ids.groupBy("fingerprint").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("fingerprint")
+    met = store(ids.join(shared, "fingerprint").distinct(), "shared-buckets")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    at = met.select(F.col("key").alias("doc_id")).distinct()
+    texts = keyed.join(F.broadcast(at) if met.count() <= MOST_BROADCAST_DOCS else at, "doc_id", "left_semi")
+    groups = exact_groups(texts).groupBy(F.col("doc_id").alias("key"), "fingerprint").agg(F.min("group_id").alias("group_id"))
+    out = got.withColumn("key", F.coalesce("doc_id", F.lit(_LEAST))).join(groups, ["key", "fingerprint"], "left")
+    return out.withColumn("group_id", F.nullif(F.coalesce("group_id", "key"), F.lit(_LEAST))).drop("key")
+
+
 def _compare(doc: tuple, next_text: str, next_form: bytes) -> tuple:
     doc_id, text, form = doc
     cut = len(text) // 3

@@ -54,7 +54,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.with_edits(table(spark, sf_dir, "documents"))
+    return fingerprint.grouped(table(spark, sf_dir, "documents"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

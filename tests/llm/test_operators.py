@@ -172,6 +172,8 @@ def test_quality_buffer_and_single_texts_agree():
     z = model.linear(data, offsets, np.asarray([quality.repetition(t) for t in texts]))
     force = [float((model.weights[at] * v).sum()) for at, v in map(quality.sparse_features, texts)]
     assert np.allclose(z, force, atol=1e-4)
+    for block in (7, 50, 10_000):
+        assert np.allclose(model.linear_long(data, 0.25, block), model.linear(data, np.asarray([0, len(data)]), np.asarray([0.25])))
 
 
 def test_quality_select_keeps_columns(spark):
@@ -419,6 +421,15 @@ def test_decontamination(spark):
     assert decontam.matches(docs_of(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_long_documents_are_hashed_in_pieces():
+    rng = random.Random(6)
+    for text in (prose(rng, 300), "x" * 500, "", " . ", "ab " * 90 + "y" * 60):
+        data = np.frombuffer(text.encode(), np.uint8)
+        whole = decontam.word_hashes(data, np.asarray([0, len(data)]))[0] if len(data) else np.zeros(0, np.uint64)
+        for block in (1, 16, 1000):
+            assert decontam.long_word_hashes(data, block).tolist() == whole.tolist()
+
+
 def test_alignment_by_force():
     rng = np.random.default_rng(2)
     for _ in range(40):
@@ -458,6 +469,17 @@ def test_fingerprints_of_few_rows(spark):
     assert fingerprint.with_edits(docs_of(spark, [])).count() == 0
 
 
+def test_grouped_fingerprints(spark, corpus):
+    rows = [*corpus, (700, "Straße  ﬁn"), (701, "STRASSE fin "), (701, "other"), (3, "other"), (None, "OTHER"), (2**62, "far"), (-(2**40), "away")]
+    got = fingerprint.grouped(docs_of(spark, rows)).collect()
+    forms = collections.defaultdict(list)
+    for d, t in rows:
+        forms[fingerprint.digest(fingerprint.canonical(t or ""))].append(-(2**63) if d is None else d)
+    least = {f: None if min(ds) == -(2**63) else min(ds) for f, ds in forms.items()}
+    assert len(got) == len(rows) and all(r["group_id"] == least[r["fingerprint"]] for r in got)
+    assert fingerprint.grouped(docs_of(spark, [])).count() == 0
+
+
 def test_exact_groups(spark, corpus):
     rows = [r for r in corpus if r[0] is not None]
     got = {r["doc_id"]: r["group_id"] for r in fingerprint.exact_groups(docs_of(spark, rows)).collect()}
