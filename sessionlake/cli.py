@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--source", default="all", help="scan: cc,codex,cursor; ingest: one of them, or all")
     p.add_argument("--out", default="scan.csv", help="scan: CSV file, - for standard output")
     p.add_argument("--registry", help="folder of the registry; scan then lists known projects only")
-    for flag in ("stop", "debug", "subagent", "redact", "force", "stats", "taxonomy", "sessions", "id", "permissions", "task-review"):
+    for flag in ("stop", "norec", "debug", "subagent", "redact", "force", "stats", "taxonomy", "sessions", "id", "permissions", "task-review"):
         p.add_argument(f"--{flag}", action="store_true")
     p.add_argument("--days", type=int)
     p.add_argument("--min-size", type=int)

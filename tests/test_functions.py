@@ -182,3 +182,14 @@ def test_all_sessions_are_numbered_like_the_first(spark):
     assert every == {r[0]: i for i, r in enumerate(order, 1)}
     assert {r["id"]: r["num"] for r in reports.numbered_sessions(s, 9).collect()} == {r[0]: i for i, r in enumerate(order[:9], 1)}
     assert reports.numbered_sessions(s, 0).count() == 60
+
+
+def test_command_line_options():
+    from sessionlake import cli
+
+    args = cli.parser().parse_args(["query", "--tool", "--dir", "a", "--dir", "b"])
+    assert args.tool == 0 and args.dir == ["a", "b"] and cli.parser().parse_args(["query", "--tool", "3"]).tool == 3
+    assert cli.parser().parse_args(["query"]).tool is None
+    assert [cli.env_flag({"SESSIONLAKE_X": v}, "X") for v in ("1", "TRUE", "yes", "on", "0")] == [True, True, True, False, False]
+    assert cli.config_errors({"SESSIONLAKE_MESSAGE_LOGS": "/a"}) == []
+    assert len(cli.config_errors({"SESSIONLAKE_DAYS": "0", "SESSIONLAKE_MIN_SIZE": "-1", "SESSIONLAKE_MESSAGE_LOGS": "rel"})) == 3
