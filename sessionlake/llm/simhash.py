@@ -318,7 +318,7 @@ def links(nodes: DataFrame, planes: int, keys, radius: int, pairs: bool = False)
     )
     placed = dealt.withColumn("cell", F.explode(cells)).select(F.xxhash64("key", "cell.x", "cell.y").alias("bucket"), F.col("cell.side").alias("side"), "node", *names)
     # a bucket of one node has no pairs; its row is dropped after the shuffle, in the task
-    placed = placed.repartition(partitions(nodes.sparkSession), "bucket").sortWithinPartitions("bucket")
+    placed = placed.repartition(partitions(nodes.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
