@@ -1,16 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Texts are lower-cased; words are runs of ASCII letters and digits and of all
-characters beyond ASCII.  An item's n-grams are looked up in every document.
-How many documents hold each of them is counted over the whole corpus first;
-seeds are the n-grams that few documents hold and, in every stretch of an item,
-the rarest one that any holds, so a passage that is everywhere keeps seeds.
+characters beyond ASCII.  An item's n-grams are looked up in every document, and
+each of them is a seed, however many documents hold it: of an item that is
+everywhere, an edited copy may have kept only n-grams that are everywhere too.
 Around each seed hit the item is aligned with the document's words (match +2,
 mismatch -1, gap -1); the score over its largest possible value (0 to 1)
-decides.  Edited and partial copies score by what is left of the item.
+decides.  Edited and partial copies score by what is left of the item.  Where
+the words that item and surroundings have in common could not reach the
+threshold even if all of them matched, the alignment is spared.
 
 Items are sent to the tasks in slices of bounded size; documents stay where
-they are read, so nothing of the corpus is shuffled but counts.
+they are read, so nothing of the corpus is shuffled.
 
 Defined results: null, empty and word-less texts and items never match; an item
 of fewer words than a seed is its own seed; repeated rows are judged each time;
@@ -33,12 +34,6 @@ from pyspark.sql import types as T
 from .common import BYTE_VALUES, blocks, mix, powers, text_buffers
 
 SEED_WORDS = 3
-#: Positions of an item of which the rarest n-gram is always a seed.
-STRETCH = 4
-#: An n-gram is rare if this share of all documents, or fewer, hold it.
-RARE = 1e-4
-#: As many documents make no n-gram frequent, however small the corpus.
-ALWAYS_RARE = 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Words of items in one slice (8 bytes each, and as much again for each seed).
@@ -105,6 +100,7 @@ class Items:
 
     ids: list
     words: list[np.ndarray]
+    bags: list[tuple[np.ndarray, np.ndarray]]  # of each item: its distinct words, sorted, and how often it has them
     sizes: list[int]  # lengths of n-grams in use
     grams: np.ndarray  # sorted hashes of distinct n-grams
     seen_in: list[list[tuple[int, int]]]  # of each n-gram: (item, place)
@@ -124,23 +120,18 @@ class Items:
             ids.append(item_id)
             words.append(own)
         grams = np.asarray(sorted(found), np.uint64)
-        return Items(ids, words, sorted({min(SEED_WORDS, len(w)) for w in words}), grams, [found[g] for g in grams.tolist()])._sieved()
+        return Items(ids, words, [np.unique(w, return_counts=True) for w in words], sorted({min(SEED_WORDS, len(w)) for w in words}), grams, [found[g] for g in grams.tolist()])._sieved()
 
     def _sieved(self) -> Items:
         self.sieve = np.zeros(1 << max(16, (8 * max(1, len(self.grams))).bit_length()), bool)
         self.sieve[(self.grams & np.uint64(len(self.sieve) - 1)).astype(np.int64)] = True
         return self
 
-    def seeds(self, documents: dict[int, int], n_docs: int) -> Items:
-        """Only the n-grams that serve as seeds. documents: of an n-gram's place, how many documents hold it."""
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for g, n in documents.items():  # n-grams that no document holds can't be met
-            for item, place in self.seen_in[g]:
-                key = (item, place // STRETCH)
-                if key not in best or (n, g) < best[key]:
-                    best[key] = (n, g)
-        kept = sorted({g for _, g in best.values()} | {g for g, n in documents.items() if n <= max(ALWAYS_RARE, RARE * n_docs)})
-        return Items(self.ids, self.words, self.sizes, self.grams[kept] if kept else self.grams[:0], [self.seen_in[g] for g in kept])._sieved()
+    def common(self, item: int, text: np.ndarray) -> int:
+        """How many words item and text have in common, repeats included: the most that an alignment can match."""
+        own, n = self.bags[item]
+        at = np.minimum(np.searchsorted(own, text), len(own) - 1)
+        return int(np.minimum(np.bincount(at[own[at] == text], minlength=len(own)), n).sum())
 
     def hits(self, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the word, n-gram) wherever an n-gram of the items begins, within one document."""
@@ -206,6 +197,9 @@ def matches_of(items: Items, words: np.ndarray, row: np.ndarray, threshold: floa
         for a, z in windows:
             if best[0] == MATCH * m:
                 break
+            most = MATCH * items.common(item, words[a:z])
+            if most <= best[0] or most / (MATCH * m) < threshold:
+                continue
             score, s, e = align(own, words[a:z])
             if score > best[0]:
                 best = (score, a + s - first, a + e - first)
@@ -224,27 +218,6 @@ def _slices(benchmark: DataFrame) -> Iterator[list[tuple]]:
         yield [(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i).orderBy("item_id", "text").collect()]
 
 
-def _seeded(docs: DataFrame, rows: list[tuple]) -> Items:
-    items = Items.of(rows)
-    known = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        its = known.value
-        total, n = np.zeros(len(its.grams), np.int64), 0
-        for b in batches:
-            n += b.num_rows
-            for _, _, words, row in hashed_texts(b.column(0)):
-                place, gram = its.hits(words, row)
-                if len(place):
-                    total += np.bincount(np.unique(row[place] * len(its.grams) + gram) % len(its.grams), minlength=len(its.grams))
-        held = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], held])), pa.array(np.concatenate([[n], total[held]]))], names=["gram", "n"])
-
-    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # a row for each n-gram of the slice
-    held = {r["gram"]: r["n"] for r in got}
-    return items.seeds(held, held.pop(-1, 0))
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, first_word, n_words of every item found in a document."""
     spark = docs.sparkSession
@@ -255,7 +228,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     for rows in _slices(benchmark):
         if not rows:
             continue
-        known = spark.sparkContext.broadcast(_seeded(docs, rows))
+        known = spark.sparkContext.broadcast(Items.of(rows))
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             items = known.value
@@ -276,7 +249,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     for rows in _slices(benchmark):
         if not rows:
             continue
-        known = spark.sparkContext.broadcast(_seeded(docs, rows))
+        known = spark.sparkContext.broadcast(Items.of(rows))
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -421,6 +421,31 @@ def test_decontamination(spark):
     assert decontam.matches(docs_of(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_edited_copies_of_hot_items(spark):
+    rng = random.Random(31)
+    many = [f"w{i}" for i in range(5000)]
+    items = [(every, prose(rng, 48, many)) for every in (5, 6, 8)]
+    rows = []
+    for every, item in items:
+        words = item.split()
+        words[every - 1 :: every] = ["changed"] * len(words[every - 1 :: every])
+        rows += [(1000 * every + i, f"{prose(rng, 30, many)} {text} {prose(rng, 30, many)}") for i, text in enumerate([item] * 60 + [" ".join(words)])]
+    rows += [(i, prose(rng, 100, many)) for i in range(20)]
+    docs, table = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.matches(docs, table).collect()}
+    assert set(got) == {(1000 * every + i, every) for every, _ in items for i in range(61)}
+    assert all(0.5 < got[1000 * every + 60, every] < 1 for every, _ in items)
+    assert {r["doc_id"] for r in decontam.clean(docs, table).collect()} == set(range(20))
+
+
+def test_common_words_bound_the_alignment():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        item, text = rng.integers(0, 6, rng.integers(1, 12)).astype(np.uint64), rng.integers(0, 9, rng.integers(1, 20)).astype(np.uint64)
+        items = decontam.Items([0], [item], [np.unique(item, return_counts=True)], [1], np.zeros(0, np.uint64), [])
+        assert decontam.align(item, text)[0] <= decontam.MATCH * items.common(0, text)
+
+
 def test_long_documents_are_hashed_in_pieces():
     rng = random.Random(6)
     for text in (prose(rng, 300), "x" * 500, "", " . ", "ab " * 90 + "y" * 60):
