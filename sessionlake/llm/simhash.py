@@ -15,12 +15,18 @@ Documents with the same fingerprint are one node.  Nodes meet in buckets:
 In a bucket each node has a row in a table of its distances to reference
 fingerprints (pivots); a pair whose rows differ by more than the radius in any
 coordinate is discarded, which the triangle inequality allows, and the Hamming
-distance of the others is verified.  Links leave a task as a spanning forest,
-or, where the texts' own similarity is to be checked as well, as one of
-shortest links: the shingle sets of their documents are then compared exactly.
+distance of the others is verified.  Links leave a task as a spanning forest.
 Buckets above MOST_IN_TASK nodes are dealt out as blocks of a grid, so that no
 pair is left out and no task gets a whole hot bucket.
 
+Where documents are linked by the similarity of their sets of shingles
+(keep_one), a node is one set, and fingerprints, of sets then, only save work.
+First the forests of shortest fingerprint links are checked on the sets, which
+joins most of what belongs together.  Then all pairs of nodes that are not
+joined yet are searched without loss (prefix_pairs) and checked as well: two
+sets of similarity t share one of the first n - ceil(t n) + 1 shingles of each,
+in any order that is the same for all; rare shingles come first.
+
 Defined results: null, empty and blank texts have fingerprint zero and are
 linked like any other; texts with fewer words than a shingle are one shingle;
 repeated rows and equal ids are reported row by row, a null doc_id counts as
@@ -55,6 +61,8 @@ MOST_IN_TASK = 4096
 MOST_BROADCAST_BUCKETS = 200_000
 #: The same for the nodes that near pairs name (24 bytes each).
 MOST_BROADCAST_NODES = 500_000
+#: Documents that tell which shingles are frequent, and most of such shingles that are told apart; only the work depends on them.
+FREQUENCY_SAMPLE, MOST_FREQUENT = 32_768, 100_000
 _STEP = 1024
 
 
@@ -72,15 +80,18 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
 
 def fingerprints_of(texts: list[str | None], words: int, planes: int) -> np.ndarray:
     """(n, planes) unsigned fingerprints."""
-    hashes = [shingle_hashes(t, words) for t in texts]
+    return _fingerprints([shingle_hashes(t, words) for t in texts], planes)
+
+
+def _fingerprints(hashes: list, planes: int) -> np.ndarray:
     n = np.asarray([len(h) for h in hashes])
-    doc = np.repeat(np.arange(len(texts)), n)
+    doc = np.repeat(np.arange(len(hashes)), n)
     h = np.fromiter(itertools.chain.from_iterable(hashes), np.uint64, int(n.sum()))
-    out = np.zeros((len(texts), planes), np.uint64)
+    out = np.zeros((len(hashes), planes), np.uint64)
     for p in range(planes):
         lanes = (h if p == 0 else mix(h + np.uint64(p * 0x9E3779B97F4A7C15 % 2**64))).view(np.uint8).reshape(-1, 8)
-        ones = np.stack([np.bincount(doc * 256 + lanes[:, k], minlength=256 * len(texts)).reshape(-1, 256) @ _BITS for k in range(8)], 1)
-        out[:, p] = np.packbits((ones * 2 > n[:, None, None]).reshape(len(texts), 64), axis=1, bitorder="little").view(np.uint64).ravel()
+        ones = np.stack([np.bincount(doc * 256 + lanes[:, k], minlength=256 * len(hashes)).reshape(-1, 256) @ _BITS for k in range(8)], 1)
+        out[:, p] = np.packbits((ones * 2 > n[:, None, None]).reshape(len(hashes), 64), axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
@@ -88,17 +99,19 @@ def planes_schema(planes: int) -> str:
     return ", ".join(f"f{p} long" for p in range(planes))
 
 
+def _megabytes(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of about a megabyte of text."""
+    start = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0))) // 1_000_000
+    return ((i, j) for i, j in itertools.pairwise([0, *(np.nonzero(np.diff(start))[0] + 1), len(texts)]) if i < j)
+
+
 def fingerprints(docs: DataFrame, words: int, planes: int = 1) -> DataFrame:
     """doc_id, text_hash, f0.. of every document (64 bits each, as signed longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
-            start = np.cumsum(sizes) // 1_000_000  # about a megabyte of text at a time
-            for i, j in itertools.pairwise([0, *(np.nonzero(np.diff(start))[0] + 1), len(sizes)]):
-                if i == j:
-                    continue
+            for i, j in _megabytes(texts):
                 got = fingerprints_of(texts.slice(i, j - i).to_pylist(), words, planes).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "text_hash")), *(pa.array(got[:, p]) for p in range(planes))], names=["doc_id", "text_hash", *(f"f{p}" for p in range(planes))])
 
@@ -106,6 +119,68 @@ def fingerprints(docs: DataFrame, words: int, planes: int = 1) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, f"doc_id long, text_hash long, {planes_schema(planes)}")
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(np.asarray(shingle_hashes(text, words), np.uint64))
+
+
+def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, count of each) that several documents of a sample have."""
+    share = max(1, math.ceil(docs.count() / FREQUENCY_SAMPLE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = np.concatenate([shingle_set(t.as_py(), words) for t in batch.column("text")])
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["shingle"])
+
+    sample = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(share)) == 0).select(F.col("text").cast("string").alias("text"))
+    top = sample.mapInArrow(run, "shingle long").groupBy("shingle").count().filter("count > 2").orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).collect()  # MOST_FREQUENT rows at most
+    grams, counts = np.asarray([r[0] for r in top], np.int64).view(np.uint64), np.asarray([r[1] for r in top], np.int64)
+    order = np.argsort(grams)
+    return grams[order], counts[order]
+
+
+def prefix(own: np.ndarray, similarity: float, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, the rare ones before the frequent: any set with the similarity has one of them among its own first ones."""
+    if len(grams):
+        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        own = own[np.argsort(np.where(grams[at] == own, counts[at], 0), kind="stable")]
+    return own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, 4): whether an even or odd number of a set's shingles falls on each of 256 bits; two sets differ in as many shingles as bits, or more."""
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    on = (np.concatenate(sets) & np.uint64(255)).astype(np.int64)
+    odd = np.bincount(doc * 256 + on, minlength=256 * len(sets)).reshape(-1, 256) & 1
+    return np.packbits(odd.astype(bool), axis=1, bitorder="little").view(np.uint64)
+
+
+PARITY = ["p0", "p1", "p2", "p3"]
+
+
+def set_fingerprints(docs: DataFrame, words: int, planes: int, similarity: float) -> DataFrame:
+    """doc_id, text_hash, f0.. (of the set of shingles), node (hash of the set), size, prefix, p0.. (parities) of every document."""
+    known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            for i, j in _megabytes(texts):
+                sets = [shingle_set(t, words) for t in texts.slice(i, j - i).to_pylist()]
+                got, odd = _fingerprints(sets, planes).view(np.int64), parities(sets).view(np.int64)
+                node = np.asarray([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                first = pa.array([prefix(x, similarity, *known.value).tobytes() for x in sets], pa.binary())
+                cols = {c: batch.column(c).slice(i, j - i) for c in ("doc_id", "text_hash")} | {f"f{p}": pa.array(got[:, p]) for p in range(planes)}
+                cols |= {"node": pa.array(node), "size": pa.array([len(x) for x in sets], pa.int64()), "prefix": first} | {c: pa.array(odd[:, k]) for k, c in enumerate(PARITY)}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(
+        run, f"doc_id long, text_hash long, {planes_schema(planes)}, node long, size long, prefix binary, {', '.join(f'{c} long' for c in PARITY)}"
+    )
+
+
 def block_keys(n: int, radius: int):
     """Keys for fingerprints of 64 bits at most `radius` apart: blocks are the fewer, the fewer nodes there are, so that buckets stay small."""
     for blocks in range(radius + 1, 2 * radius + 4):
@@ -237,8 +312,9 @@ def near_pairs(groups: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int
     """Pairs of rows of the same (sorted) group within the radius: a minimum spanning forest of each group.
 
     Rows that are linked at some distance are also joined by the forest's links
-    up to that distance, so a stricter test of the links that are left keeps
-    together what belongs together, and their number grows with the rows, not the pairs.
+    up to that distance, and the number of links grows with the rows, not the
+    pairs.  A test of something else than the distance may fail a link of the
+    forest and pass one that was left out: such pairs are for prefix_pairs.
     """
     n = len(groups)
     starts = np.concatenate([[0], np.nonzero(np.diff(groups))[0] + 1])
@@ -307,55 +383,121 @@ def links(nodes: DataFrame, planes: int, keys, radius: int, pairs: bool = False)
                 again = pa.array(np.repeat(np.arange(len(fp)), k.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64).ravel()), *(part.column(n).take(again) for n in ("node", *names))], names=["key", "node", *names])
 
-    keyed = nodes.select("node", *names).mapInArrow(spread, f"key long, node long, {planes_schema(planes)}")
+    placed = _in_buckets(nodes.select("node", *names), spread, {n: "long" for n in ("node", *names)})
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_buckets(batches):
+            node = np.asarray(rows["node"])
+            fp = np.stack([np.asarray(rows[n]).view(np.uint64) for n in names], 1)
+            if pairs:
+                i, j = near_pairs(np.asarray(rows["bucket"]), fp, np.asarray(rows["side"]), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["u", "v"])
+                continue
+            label = compare(np.asarray(rows["bucket"]), fp, np.asarray(rows["side"]), radius)
+            linked = label != np.arange(len(label))
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["u", "v"])
+
+    return placed.mapInArrow(join, "u long, v long").distinct()
+
+
+def _in_buckets(nodes: DataFrame, spread, columns: dict[str, str]) -> DataFrame:
+    """bucket, side and the columns: the rows (key, columns) that spread makes of nodes, in order of buckets; hot keys are dealt out in a grid."""
+    schema = "key long, " + ", ".join(f"{c} {t}" for c, t in columns.items())
+    keyed = nodes.mapInArrow(spread, schema)
     # which buckets are hot is judged by every 16th node; a bucket judged wrongly only makes its task longer or shorter
-    seen = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(16)) == 0).select("node", *names).mapInArrow(spread, f"key long, node long, {planes_schema(planes)}")
+    seen = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(16)) == 0).mapInArrow(spread, schema)
     hot = store(seen.groupBy("key").count().filter(F.col("count") * 16 > MOST_IN_TASK).select(F.col("key").alias("hot"), F.ceil(F.col("count") * 16 / MOST_IN_TASK).alias("g")), "hot-buckets")
     dealt = keyed.join(F.broadcast(hot) if hot.count() <= MOST_BROADCAST_BUCKETS else hot, F.col("key") == F.col("hot"), "left")
     own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
     cells = F.when(F.col("g").isNull(), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("g").cast("int") - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y"), F.when(j == own, 0).when(own < j, 1).otherwise(2).alias("side")))
     )
-    placed = dealt.withColumn("cell", F.explode(cells)).select(F.xxhash64("key", "cell.x", "cell.y").alias("bucket"), F.col("cell.side").alias("side"), "node", *names)
+    placed = dealt.withColumn("cell", F.explode(cells)).select(F.xxhash64("key", "cell.x", "cell.y").alias("bucket"), F.col("cell.side").alias("side"), *columns)
     # a bucket of one node has no pairs; its row is dropped after the shuffle, in the task
-    placed = placed.repartition(partitions(nodes.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
+    return placed.repartition(partitions(nodes.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of complete buckets, without those that are alone in theirs."""
+
+    def met(rows: pa.Table) -> pa.Table:
+        bucket = np.asarray(rows["bucket"])
+        same = np.concatenate([[False], bucket[1:] == bucket[:-1]])
+        return rows.filter(pa.array(same | np.concatenate([same[1:], [False]])))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        rows = pa.Table.from_batches(held)
+        bucket = np.asarray(rows["bucket"])
+        last = int(np.nonzero(bucket == bucket[-1])[0][0]) if len(bucket) else 0
+        if last:
+            yield met(rows.slice(0, last))
+            held = rows.slice(last).to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        if rows.num_rows:
+            yield met(rows)
+
+
+def _all_pairs(groups: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same (sorted) group that are to be compared (see compare), a bounded number at a time."""
+    starts = np.concatenate([[0], np.nonzero(np.diff(groups))[0] + 1])
+    sizes = np.diff(np.concatenate([starts, [len(groups)]]))
+    small = sizes <= 64
+    for i, j in _pairs_within(sizes[small], starts[small]):
+        ok = (side[i] == 0) | (side[i] != side[j])
+        yield i[ok], j[ok]
+    for s, m in zip(starts[~small], sizes[~small]):
+        for x, y in itertools.combinations_with_replacement(range(s, s + m, _STEP), 2):
+            left, right = np.arange(x, min(x + _STEP, s + m)), np.arange(y, min(y + _STEP, s + m))
+            i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+            ok = (i < j) & ((side[i] == 0) | (side[i] != side[j]))
+            yield i[ok], j[ok]
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def done(rows: pa.Table) -> pa.RecordBatch:
-            bucket = np.asarray(rows["bucket"])
-            same = np.concatenate([[False], bucket[1:] == bucket[:-1]])
-            rows = rows.filter(pa.array(same | np.concatenate([same[1:], [False]])))
-            node = np.asarray(rows["node"])
-            fp = np.stack([np.asarray(rows[n]).view(np.uint64) for n in names], 1)
-            if pairs:
-                i, j = near_pairs(np.asarray(rows["bucket"]), fp, np.asarray(rows["side"]), radius)
-                return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["u", "v"])
-            label = compare(np.asarray(rows["bucket"]), fp, np.asarray(rows["side"]), radius)
-            linked = label != np.arange(len(label))
-            return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["u", "v"])
+def prefix_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """u, v: pairs of nodes (node, label, size, prefix, p0..) of different labels; no pair with the similarity is missing.
+
+    Pairs that share a shingle of their prefixes are left out only if their
+    sizes, the places of that shingle or the parities rule the similarity out.
+    """
+    columns = {c: "long" for c in ("node", "label", "size", "place", *PARITY)}
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            bucket = np.asarray(rows["bucket"])
-            last = int(np.nonzero(bucket == bucket[-1])[0][0]) if len(bucket) else 0
-            if last:
-                yield done(rows.slice(0, last))
-                held = rows.slice(last).to_batches()
-        if held:
-            rows = pa.Table.from_batches(held)
-            if rows.num_rows:
-                yield done(rows)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                keys = [np.frombuffer(x.as_py(), np.int64) for x in part.column("prefix")]
+                n = np.asarray([len(k) for k in keys])
+                again = pa.array(np.repeat(np.arange(len(n)), n))
+                cols = {"key": pa.array(np.concatenate(keys))} | {c: part.column(c).take(again) for c in columns if c != "place"}
+                cols["place"] = pa.array(np.concatenate([np.arange(k) for k in n]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([cols[c] for c in ("key", *columns)], names=["key", *columns])
 
-    return placed.mapInArrow(join, "u long, v long").distinct()
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_buckets(batches):
+            node, label, size, place, side = (np.asarray(rows[c]) for c in ("node", "label", "size", "place", "side"))
+            odd = np.stack([np.asarray(rows[c]).view(np.uint64) for c in PARITY], 1)
+            for i, j in _all_pairs(np.asarray(rows["bucket"]), side):
+                ok = label[i] != label[j]
+                i, j = i[ok], j[ok]
+                most = np.minimum(size[i] - place[i], size[j] - place[j])  # in common, if this shingle is the first that is
+                both = size[i] + size[j]
+                ok = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6) & (most * (1 + similarity) >= similarity * both - 1e-6)
+                i, j, both = i[ok], j[ok], both[ok]
+                ok = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) * (1 + similarity) <= (1 - similarity) * both + 1e-6
+                if ok.any():
+                    a, b = node[i[ok]], node[j[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+
+    return _in_buckets(nodes.select("node", "label", "size", "prefix", *PARITY), spread, columns).mapInArrow(join, "u long, v long").distinct()
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of the pairs (u, v) those whose documents' sets of shingles have a Jaccard similarity of `similarity` or more.
 
-    nodes: node, rep (doc_id and text_hash of a document with the fingerprint).
+    nodes: node, rep (doc_id and text_hash of a document with the set).
     """
     met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     reps = store(nodes.join(met, "node").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")), "met-nodes")
@@ -363,7 +505,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: in
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(np.asarray(shingle_hashes(t.as_py(), words), np.uint64)).tobytes() for t in b.column("text")]
+            sets = [shingle_set(t.as_py(), words).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("rep_id"), F.xxhash64(F.col("text").cast("string")).alias("rep_hash"), F.col("text").cast("string").alias("text"))
@@ -392,20 +534,27 @@ def near_duplicates(docs: DataFrame, words: int, radius: int, planes: int = 1, a
     similarity: if given, links also need this Jaccard similarity of shingles.
     """
     names = [f"f{p}" for p in range(planes)]
-    of = store(fingerprints(docs, words, planes), "fingerprints")
-    node = F.col("f0") if planes == 1 else F.xxhash64(*names)
-    rep = F.min(F.struct(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc_id"), "text_hash"))
-    nodes = store(of.groupBy(*names).agg(rep.alias("rep")).withColumn("node", node), "fingerprint-nodes")
+    rep = F.min(F.struct(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc_id"), "text_hash")).alias("rep")
+    if similarity is None:
+        of = store(fingerprints(docs, words, planes).withColumn("node", F.col("f0") if planes == 1 else F.xxhash64(*names)), "fingerprints")
+        more = []
+    else:
+        of = store(set_fingerprints(docs, words, planes, similarity), "fingerprints")
+        more = [F.first(c).alias(c) for c in ("size", "prefix", *PARITY)]
+    nodes = store(of.groupBy("node", *names).agg(rep, *more), "fingerprint-nodes")
     n = nodes.count()
     keys = block_keys(n, radius) if agree is None else sampled_keys(n, planes, agree)
     found = links(nodes, planes, keys, radius, pairs=similarity is not None)
     if similarity is not None:
-        found = similar_links(docs, nodes, store(found, "near-pairs"), words, similarity)
+        joined = components(similar_links(docs, nodes, store(found, "near-pairs"), words, similarity))
+        labelled = nodes.join(joined, "node", "left").withColumn("label", F.coalesce("root", "node"))
+        rest = similar_links(docs, nodes, store(prefix_pairs(labelled, similarity), "prefix-pairs"), words, similarity)
+        found = joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest)
     rooted = nodes.join(components(found), "node")
     heads = rooted.groupBy("root").agg(F.min("rep").alias("first"))
     joined = rooted.join(heads, "root").select("node", "first")
-    named = nodes.join(joined, "node", "left").select(*names, F.coalesce("first", "rep").alias("first"))
-    return of.join(named, names).select("doc_id", "text_hash", *names, F.nullif("first.doc_id", F.lit(_LEAST)).alias("component_id"), F.col("first.text_hash").alias("head"))
+    named = nodes.join(joined, "node", "left").select("node", *names, F.coalesce("first", "rep").alias("first"))
+    return of.join(named, ["node", *names]).select("doc_id", "text_hash", *names, F.nullif("first.doc_id", F.lit(_LEAST)).alias("component_id"), F.col("first.text_hash").alias("head"))
 
 
 def report(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -423,8 +572,8 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, planes: i
     """Rows of docs without near copies: of each component the first document (least doc_id) stays; rows that repeat it stay with it.
 
     Documents are linked if their sets of shingles have the similarity or more.
-    Candidates come from fingerprints: the radius is two standard errors beyond
-    where a pair at the threshold lies on average.
+    The radius of the fingerprints, which only save work, is two standard errors
+    beyond where a pair at the threshold lies on average.
     """
     share, bits = bits_at(similarity), 64 * planes
     radius = round(share * bits + 2 * math.sqrt(share * (1 - share) * bits))

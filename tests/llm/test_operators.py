@@ -285,6 +285,34 @@ def test_keep_one_of_near_copies(spark):
     assert simhash.keep_one(docs_of(spark, [])).count() == 0
 
 
+def kept_by_force(rows, similarity=0.8):
+    sets = [set(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if root[i] != root[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    return {rows[r][0] for r in root}
+
+
+def edited_variants(rng, groups, variants, edits):
+    many = [f"w{i}" for i in range(9000)]
+    rows = []
+    for g in range(groups):
+        base = [rng.choice(many) for _ in range(204)]
+        for _ in range(variants):
+            words = list(base)
+            for at in rng.sample(range(len(words)), rng.randint(*edits)):
+                words[at] = f"e{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def test_keep_one_joins_what_no_forest_of_distances_joins(spark):
+    rows = edited_variants(random.Random(5), 12, 40, (3, 7))
+    assert {r["doc_id"] for r in simhash.keep_one(docs_of(spark, rows)).collect()} == kept_by_force(rows)
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
