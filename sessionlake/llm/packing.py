@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 A document's ids end with an end id; only documents longer than a sequence are
-cut, into full pieces and one shorter last piece.  Best-fit decreasing depends
+cut, into full pieces after a first one that may be shorter.  Best-fit decreasing depends
 on the pieces only through how many there are of each length, so the decisions
 are made on that histogram (at most `capacity` rows, whatever the corpus size):
 lengths go from long to short, a segment tree over remaining capacities finds
@@ -75,8 +75,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(ids, texts):
                 all_ids = np.asarray([*encode(text.as_py() or ""), end_id], "<u4")
-                for k, at in enumerate(range(0, len(all_ids), capacity)):
-                    part = all_ids[at : at + capacity]
+                cuts = [0, *range((len(all_ids) - 1) % capacity + 1, len(all_ids) + 1, capacity)]
+                for k, (at, end) in enumerate(zip(cuts, cuts[1:])):
+                    part = all_ids[at:end]
                     for col, v in zip(rows, (doc, k, at, len(part), zlib.crc32(part.tobytes()))):
                         col.append(v)
             crc = np.asarray(rows[4], np.int64)

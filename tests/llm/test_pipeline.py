@@ -3,14 +3,12 @@
 import itertools
 import os
 import random
-import zlib
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
 from sessionlake.llm import queries as Q
-from tests.llm.test_operators import DOC, bins_by_force, lines_by_force, prose
+from tests.llm.test_operators import DOC, bins_by_force, lines_by_force, pieces_by_contract, prose
 
 SF = "/root/testdata/sf0.001"
 MANY = [f"w{i}" for i in range(4000)]
@@ -97,8 +95,7 @@ def check_packing(rows, docs):
     tokenizer = Tokenizer.from_file(Q.tokenizer_path())
     want = []
     for d, t in docs.items():
-        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
-        want += [(d, k, at, len(ids[at : at + 1024]), zlib.crc32(np.asarray(ids[at : at + 1024], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 1024))]
+        want += [(d, *p) for p in pieces_by_contract([*tokenizer.encode(t, add_special_tokens=False).ids, 2])]
     assert sorted(tuple(r)[:5] for r in rows) == sorted(want)
     assert len({r["sequence_id"] for r in rows}) == len(bins_by_force([w[3] for w in want], 1024))
 
