@@ -1,245 +1,304 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-Fit, on a bounded sample of labelled documents: the vocabulary is the
-terms whose documents are toxic, or not toxic, more often than chance allows
-(by z-score); examples are the sampled documents' term counts over it.
-Document frequencies, and so IDF, are counted over all documents.
-
-Search: examples with the same vector are one entry of an inverted index.  A
-term's postings are sorted by weight and cut into blocks, each with its largest
-weight.  A query adds up postings block by block, and stops when the best that
-an unseen entry can still reach, from the blocks' maxima, is below the k-th
-similarity found; the result is exactly the k nearest entries.
-
-Score: neighbours vote with weight 1 / (1 - cosine + 0.05), together with a
-prior vote, and a monotone calibration (fitted on each example's votes
-from the others) maps the share of toxic votes to a probability.  The nearest
-examples are the evidence.
-
-Defined results: null and empty texts, and texts without a term of the
-vocabulary, have no neighbours and get the rate of such texts among the
-examples; labels that are null, or whose document is missing, are not used;
-of several labels of one document the largest counts; without any usable label
-every score is the prior 0.
+Examples are a bounded sample of labelled documents, as many of each label as
+there are up to half of `most_examples`; copies of a text count once.  Their
+terms, all of them, are the vocabulary.  Document frequencies, and so IDF, are
+counted over all documents.  A weight is (1 + ln count) * idf, scaled to length 1.
+
+Search: examples are put in order of the leader they resemble most and cut into
+blocks; the inverted index keeps a term's postings block by block, each with
+its largest weight.  A query adds up these maxima to a bound for every block,
+scores the blocks of the largest bounds, and then every further block whose
+bound reaches the k-th similarity found; the result is exactly the k nearest.
+
+Score: neighbours vote with the distance by which they are nearer than the
+next one, the (k+1)-th (Dudani's rule), examples of the less sampled label for
+more.  A monotone calibration (fitted on each example's votes from the others,
+weighed to the labels' own rate) maps the share of toxic votes to a
+probability.  The nearest examples are the evidence.
+
+Defined results: null and empty texts, and texts without a word, have no
+neighbours and get the rate of such texts among the examples; texts whose words
+no example has get the rate of all labels; a null doc_id is scored like any
+other, and so is every one of repeated rows; labels that are null, or whose
+document is missing, are not used; of several labels of one document the
+largest counts; without any usable label every score is the prior 0; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import store
+from .common import discard, store
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled documents that are sampled for the fit, by hash of doc_id; more labels change nothing.
-MOST_EXAMPLES = 16_384
-#: Terms of the vocabulary, strongest first.
-MOST_TERMS = 4_096
-#: Least z-score of a term, and least number of different sampled texts that hold it: a share of the sample, or this many.
-LEAST_Z, LEAST_SHARE, LEAST_DOCS = 4.5, 1e-3, 4
-NEIGHBOURS = 25
-BLOCK = 64
+#: Labelled documents that are sampled for the fit, by hash of doc_id, half of them for either label; more labels change nothing.
+MOST_EXAMPLES = 8_192
+#: Entries (a term of an example) that the index may have; very long examples end the sample earlier.
+MOST_ENTRIES = 4_000_000
+#: Neighbours: this share of the examples, or this many.
+NEIGHBOUR_SHARE, LEAST_NEIGHBOURS = 1 / 16, 25
+#: Examples in a block of the index, and leaders that put them in order.
+BLOCK, LEADERS = 128, 32
+#: Words of a text that are looked up at a time.
+WORDS_AT_A_TIME = 1 << 16
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def sample_labels(labels: DataFrame, label_col: str, most: int) -> DataFrame:
-    """doc_id, label of at most `most` labelled documents, those with the least hashes."""
-    clean = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    return clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def sample_labels(labels: DataFrame, label_col: str, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, label of the labelled documents with the least hashes, most / 2 of a label; and the numbers of all labelled documents."""
+    clean = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col(label_col).cast("int") > 0).cast("int")).alias("label"))
+    totals = {r["label"]: r["n"] for r in clean.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    part = lambda label: clean.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
+    return part(0).unionByName(part(1)), totals
 
 
-def vocabulary(examples: DataFrame) -> list[str]:
-    """Terms of examples (text, label) that go with one label; at most MOST_TERMS.  Copies of a text count once."""
-    examples = examples.groupBy(F.xxhash64("text").alias("copy")).agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+def term_counts(examples: DataFrame) -> DataFrame:
+    """doc_id, label, copy (a hash of the text), terms, counts of examples (doc_id, label, text)."""
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: Counter = Counter()
-            bad: Counter = Counter()
-            for text, label in zip(b.column("text"), b.column("label").to_pylist()):
-                own = set(words_of(text.as_py()))
-                found.update(own)
-                if label:
-                    bad.update(own)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64()), pa.array([bad[t] for t in found], pa.int64())], names=["term", "n", "bad"])
-
-    totals = examples.agg(F.count("*").alias("n"), F.sum("label").alias("bad")).first()
-    if not totals["n"] or not totals["bad"] or totals["bad"] == totals["n"]:
-        return []
-    rate = totals["bad"] / totals["n"]
-    z = (F.col("bad") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) + 0.5)
-    counted = examples.mapInArrow(terms, "term string, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    strong = counted.filter(F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * totals["n"])).withColumn("z", F.abs(z)).filter(F.col("z") >= LEAST_Z)
-    return sorted(r["term"] for r in strong.orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect())
-
-
-def term_counts(docs: DataFrame, vocab: list[str], keep: list[str]) -> DataFrame:
-    """keep.., terms, counts: of each document the vocabulary's terms (by place) in it and how often."""
-    place = {t: i for i, t in enumerate(vocab)}
-    known = docs.sparkSession.sparkContext.broadcast(place)  # MOST_TERMS at most
+            own = [Counter(words_of(t.as_py())) for t in b.column("text")]
+            terms = pa.array([sorted(c) for c in own], pa.list_(pa.string()))
+            counts = pa.array([[c[t] for t in sorted(c)] for c in own], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("copy"), terms, counts], names=["doc_id", "label", "copy", "terms", "counts"])
+
+    return examples.select("doc_id", "label", F.xxhash64("text").alias("copy"), "text").mapInArrow(run, "doc_id long, label int, copy long, terms array<string>, counts array<int>")
+
+
+class Lookup:
+    """Texts to (term numbers, counts) over a vocabulary; other words only count as words."""
+
+    def __init__(self, terms: list[str]):
+        self.place = {t: i for i, t in enumerate(terms)}
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, bool]:
+        found = words_of(text)
+        get = self.place.get
+        parts = [np.fromiter((i for i in map(get, found[s : s + WORDS_AT_A_TIME]) if i is not None), np.int64) for s in range(0, len(found), WORDS_AT_A_TIME)]
+        terms, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
+        return terms, counts, bool(found)
+
+
+def document_frequencies(docs: DataFrame, lookup, size: int) -> tuple[np.ndarray, int]:
+    """In how many of docs each term of the vocabulary is, and how many docs there are; at most `size` rows come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = known.value.get
+        seen, n = np.zeros(size + 1, np.int64), 0
         for b in batches:
-            terms, counts = [], []
             for text in b.column("text"):
-                own = Counter(filter(lambda i: i is not None, map(at, words_of(text.as_py()))))
-                order = sorted(own)
-                terms.append(order)
-                counts.append([own[i] for i in order])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=[*keep, "terms", "counts"])
+                seen[lookup.value(text.as_py())[0]] += 1
+                n += 1
+        seen[size] = n
+        at = np.nonzero(seen)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["term", "n"])
+
+    got = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(size + 1, np.int64)
+    df[got.column("term").to_numpy()] = got.column("n").to_numpy()
+    return df[:size], int(df[size])
+
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", terms array<int>, counts array<int>")
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of the runs (start, length), one run after the other."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
 
 class Index:
-    """Block-max inverted index over distinct unit vectors, each with its number of examples and of toxic ones."""
-
-    def __init__(self, entries: list[tuple[tuple[int, ...], tuple[int, ...], int, int, list[int]]], idf: np.ndarray):
-        self.idf = idf
-        self.n = np.asarray([e[2] for e in entries], float)
-        self.bad = np.asarray([e[3] for e in entries], float)
-        self.evidence = [e[4] for e in entries]
-        postings: dict[int, list[tuple[float, int]]] = defaultdict(list)
-        self.vectors = []
-        for k, (terms, counts, *_) in enumerate(entries):
-            w = self.weights(terms, counts)
-            self.vectors.append(dict(zip(terms, w)))
-            for t, x in zip(terms, w):
-                postings[t].append((x, k))
-        self.postings = {}
-        for t, rows in postings.items():
-            rows.sort(key=lambda r: (-r[0], r[1]))
-            w, k = np.asarray([r[0] for r in rows]), np.asarray([r[1] for r in rows])
-            self.postings[t] = (w, k, w[::BLOCK])  # the third: each block's maximum
-
-    def weights(self, terms, counts) -> np.ndarray:
-        w = (1 + np.log(np.asarray(counts, float))) * self.idf[list(terms)]
-        return w / np.sqrt((w * w).sum())
-
-    def nearest(self, terms, counts, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k entries of largest cosine (ties: the first entries), without one of them if asked for."""
-        q = self.weights(terms, counts)
-        lists = [(x, *self.postings[t]) for t, x in zip(terms, q) if t in self.postings]
-        at = [0] * len(lists)
-        seen: dict[int, float] = {}
-        best: list[tuple[float, int]] = []
-        mine = dict(zip(terms, q))
-        while True:
-            # the most that an entry not yet met can have: what is left of each list starts with its next block's maximum
-            rest = [x * m[a] if a < len(m) else 0.0 for a, (x, _, _, m) in zip(at, lists)]
-            bound = sum(rest)
-            if not bound or (len(best) == k and bound < best[-1][0] - 1e-12):
-                break
-            i = int(np.argmax(rest))
-            _, _, ids, _ = lists[i]
-            new = [e for e in ids[at[i] * BLOCK : (at[i] + 1) * BLOCK].tolist() if e not in seen and e != without]
-            at[i] += 1
-            for e in new:
-                v = self.vectors[e]
-                seen[e] = sum(x * v[t] for t, x in mine.items() if t in v)
-            if new:
-                best = sorted(best + [(seen[e], e) for e in new], key=lambda r: (-r[0], r[1]))[:k]
-        return best
-
-    def votes(self, found: list[tuple[float, int]], prior: float, less: tuple[int, float, float] | None = None) -> float:
-        """Share of toxic votes; less: an entry with the examples and toxic ones to leave out of it."""
-        good, bad = 0.5 * (1 - prior), 0.5 * prior
-        for cos, e in found:
-            n, b = self.n[e], self.bad[e]
-            if less and less[0] == e:
-                n, b = n - less[1], b - less[2]
-            w = 1 / (1 - min(cos, 1.0) + 0.05) / 20
-            # many examples with one vector count by their root, so that they don't drown all others
-            scale = w / math.sqrt(max(n, 1))
-            good, bad = good + scale * (n - b), bad + scale * b
-        return bad / (good + bad)
-
-
-def calibration(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic map from vote share to probability (pool adjacent violators); one example of each label is added for smoothness."""
+    """Block-max inverted index over the unit vectors of examples.
+
+    owner, term, count: the entries, sorted by owner; label and doc_id: of each
+    owner.  Entries lie by (term, block, example); a cell is a term's entries
+    in one block, with the largest weight.
+    """
+
+    def __init__(self, owner: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, label: np.ndarray, doc_id: np.ndarray, block: int = BLOCK, leaders: int = LEADERS):
+        self.idf, self.n, self.block = idf, len(label), block
+        weight = (1 + np.log(count)) * idf[term]
+        norm = np.sqrt(np.bincount(owner, weight * weight, self.n))
+        weight /= norm[owner]
+        place = self._order(owner, term, weight, leaders)
+        self.label, self.doc_id = np.empty(self.n, np.int64), np.empty(self.n, np.int64)
+        self.label[place], self.doc_id[place] = label, doc_id
+        owner = place[owner]
+        by = np.lexsort((owner, term))
+        term, self.owner, self.weight = term[by], owner[by].astype(np.int32), weight[by]
+        cell = np.nonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (self.owner[1:] // block != self.owner[:-1] // block)]))[0] if len(term) else np.zeros(0, np.int64)
+        self.cell_start = np.concatenate([cell, [len(term)]]).astype(np.int64)
+        self.cell_block = (self.owner[cell] // block).astype(np.int32)
+        self.cell_max = np.maximum.reduceat(self.weight, cell) if len(cell) else np.zeros(0)
+        self.term_start = np.searchsorted(term[cell], np.arange(len(idf) + 1))
+        self.blocks = -(-self.n // block)
+
+    def _order(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, leaders: int) -> np.ndarray:
+        """Places at which examples that are nearest to the same leader stand together."""
+        heads = np.unique(np.linspace(0, self.n - 1, min(leaders, self.n)).astype(int))
+        best, which = np.full(self.n, -1.0), np.zeros(self.n, int)
+        for k, head in enumerate(heads):
+            own = np.zeros(len(self.idf))
+            mine = slice(*np.searchsorted(owner, [head, head + 1]))
+            own[term[mine]] = weight[mine]
+            cos = np.bincount(owner, weight * own[term], self.n)
+            which[cos > best] = k
+            best = np.maximum(best, cos)
+        place = np.empty(self.n, np.int64)
+        place[np.argsort(which, kind="stable")] = np.arange(self.n)
+        return place
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, examples) of the k nearest with a cosine above 0, nearest first (ties: the first examples)."""
+        w = (1 + np.log(counts)) * self.idf[terms]
+        return self.nearest_of(terms, w / np.sqrt((w * w).sum()) if len(w) else w, k)
+
+    def nearest_of(self, terms: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """nearest() for a unit vector; without: an example to leave out."""
+        lo, n = self.term_start[terms], self.term_start[terms + 1] - self.term_start[terms]
+        cells, at = _spread(lo, n), np.repeat(w, n)
+        blocks = self.cell_block[cells]
+        # what rounding may take from a bound
+        bound = np.bincount(blocks, at * self.cell_max[cells], self.blocks) * (1 + 1e-9)
+        order = np.argsort(-bound, kind="stable")
+        score = np.zeros(self.n)
+        left, first = order, max(1, -(-2 * (k + 1) // self.block))
+        while len(left):
+            now = np.zeros(self.blocks, bool)
+            now[left[:first]] = True
+            mine = now[blocks]
+            run, size = self.cell_start[cells[mine]], self.cell_start[cells[mine] + 1] - self.cell_start[cells[mine]]
+            entries = _spread(run, size)
+            score += np.bincount(self.owner[entries], self.weight[entries] * np.repeat(at[mine], size), self.n)
+            if without >= 0:
+                score[without] = 0
+            least = np.partition(score, -k)[-k] if self.n > k else 0.0
+            left = left[first:]
+            left = left[(bound[left] >= least) & (bound[left] > 0)]
+            first = len(left)
+        top = np.nonzero(score >= max(least, 1e-300))[0]
+        top = top[np.lexsort((top, -score[top]))][:k]
+        return score[top], top
+
+    def votes(self, found: tuple[np.ndarray, np.ndarray], k: int, worth: np.ndarray) -> float:
+        """Share of toxic votes among the k nearest of found (k + 1 of them, if there are as many); worth: of an example of either label."""
+        cos, at = found
+        floor = cos[k] if len(cos) > k else 0.0
+        weight = np.maximum(cos[:k] - floor, 1e-12) * worth[self.label[at[:k]]]
+        return float(weight[self.label[at[:k]] == 1].sum() / weight.sum())
+
+
+def calibration(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic map from vote share to probability (pool adjacent violators) of weighted examples; half an example of each label smooths a pool."""
     order = np.argsort(votes, kind="stable")
-    blocks: list[list[float]] = []  # sum of labels, number, sum of votes
-    for v, y in zip(votes[order].tolist(), labels[order].tolist()):
-        blocks.append([y, 1.0, v])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            last = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
-    x = np.asarray([b[2] / b[1] for b in blocks])
-    y = np.asarray([(b[0] + 0.5) / (b[1] + 1) for b in blocks])
+    pools: list[list[float]] = []  # weight of label 1, weight, weighted votes, examples
+    for v, y, w in zip(votes[order].tolist(), labels[order].tolist(), weights[order].tolist()):
+        pools.append([y * w, w, v * w, 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    x = np.asarray([p[2] / p[1] for p in pools])
+    y = np.asarray([(p[0] + 0.5 * p[1] / p[3]) / (p[1] + p[1] / p[3]) for p in pools])
     return x, np.maximum.accumulate(y)
 
 
-def build(vectors: DataFrame, examples: DataFrame, vocab: list[str]) -> tuple[Index | None, float, float, tuple[np.ndarray, np.ndarray]]:
-    """Index, rate over all examples, rate of examples without terms, calibration."""
-    n = vectors.count()
-    df = {r["term"]: r["n"] for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # MOST_TERMS at most
-    idf = np.log((1 + n) / (1 + np.asarray([df.get(i, 0) for i in range(len(vocab))], float))) + 1
-    rows = examples.groupBy("terms", "counts").agg(F.count("*").alias("n"), F.sum("label").alias("bad"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).alias("ids")).collect()  # MOST_EXAMPLES at most
-    total, bad = sum(r["n"] for r in rows), sum(r["bad"] for r in rows)
-    plain = [r for r in rows if not r["terms"]]
-    rate = bad / total if total else 0.0
-    plain_rate = (sum(r["bad"] for r in plain) + rate) / (sum(r["n"] for r in plain) + 1) if total else 0.0
-    entries = sorted((tuple(r["terms"]), tuple(r["counts"]), r["n"], r["bad"], list(r["ids"])) for r in rows if r["terms"])
-    if not entries:
-        return None, rate, plain_rate, (np.zeros(1), np.zeros(1))
-    index = Index(entries, idf)
-    # each example is judged by the others: its own entry takes part without it
-    votes, labels = [], []
-    for e, (terms, counts, n_e, bad_e, _) in enumerate(entries):
-        found = index.nearest(terms, counts, NEIGHBOURS)
-        for label, times in ((1, bad_e), (0, n_e - bad_e)):
-            if times:
-                votes += [index.votes(found, rate, (e, 1, label))] * times
-                labels += [label] * times
-    return index, rate, plain_rate, calibration(np.asarray(votes), np.asarray(labels, float))
-
-
-def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_examples: int = MOST_EXAMPLES) -> DataFrame:
+def collect_examples(examples: DataFrame, most: int, most_entries: int) -> pa.Table:
+    """doc_id, label, terms, counts of the examples, one for each text; no more than `most`, and no more entries than most_entries."""
+    counted = store(term_counts(examples), "toxicity-terms")
+    one = counted.withColumn("size", F.size("terms")).groupBy("copy").agg(F.max("label").alias("label"), F.min("doc_id").alias("doc_id"), F.min("size").alias("size")).orderBy(F.xxhash64("doc_id"), "copy").limit(most)
+    # at most most_examples rows, so one task may add up their sizes; labels take turns, so that both are there
+    turn = one.withColumn("turn", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "copy")))
+    fits = turn.withColumn("sum", F.sum("size").over(Window.orderBy("turn", "label").rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= most_entries)
+    # of rows with one doc_id and several texts each text is there under its own hash
+    texts = counted.groupBy("copy").agg(F.first("terms").alias("terms"), F.first("counts").alias("counts"))
+    got = fits.join(texts, "copy").select("doc_id", "label", "copy", "terms", "counts").toArrow().sort_by([("doc_id", "ascending"), ("copy", "ascending")]).combine_chunks()
+    discard(examples.sparkSession, counted._scratch_path)
+    return got
+
+
+def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_examples: int = MOST_EXAMPLES, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """doc_id, score, predicted, neighbours (doc_id, cosine) of every document; only rows of `labels` are learned from."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = sample_labels(labels, label_col, most_examples)
+    sample, totals = sample_labels(labels, label_col, most_examples)
     # at most most_examples rows of 12 bytes
     examples = store(rows.join(F.broadcast(sample), "doc_id"), "toxicity-examples")
-    vocab = vocabulary(examples)
-    vectors = store(term_counts(rows, vocab, ["doc_id"]), "toxicity-vectors")
-    model = spark.sparkContext.broadcast(build(vectors, term_counts(examples, vocab, ["doc_id", "label"]), vocab))
+    got = collect_examples(examples, most_examples, most_entries)
+    discard(spark, examples._scratch_path)
+    rate = totals.get(1, 0) / max(1, sum(totals.values()))
+    label = got.column("label").to_numpy().astype(np.int64)
+    sizes = pc.list_value_length(got.column("terms")).to_numpy().astype(np.int64)
+    # an example stands for so many of its label
+    worth = np.asarray([(1 - rate) / max(1, (label == 0).sum()), rate / max(1, (label == 1).sum())])
+    bare = worth[label[sizes == 0]]
+    plain = float((bare[label[sizes == 0] == 1].sum() + rate * worth.max()) / (bare.sum() + worth.max())) if len(label) else 0.0
+    got, label = got.filter(pa.array(sizes > 0)), label[sizes > 0]
+    if not len(label):
+        return rows.select("doc_id", F.lit(plain).alias("score"), F.lit(int(plain >= 0.5)).alias("predicted"), F.expr("cast(array() as array<struct<doc_id:bigint,cosine:double>>)").alias("neighbours"))
+
+    entries = pc.list_flatten(got.column("terms")).combine_chunks().dictionary_encode()
+    words, numbers = entries.dictionary.to_pylist(), entries.indices.to_numpy()
+    lookup = spark.sparkContext.broadcast(Lookup(words))  # most_entries terms at most
+    df, n = document_frequencies(rows, lookup, len(words))
+    idf = np.log((1 + n) / (1 + df)) + 1
+    owner = np.repeat(np.arange(len(label)), sizes[sizes > 0])
+    made = Index(owner, numbers, pc.list_flatten(got.column("counts")).to_numpy(), idf, label, got.column("doc_id").to_numpy())
+    index = spark.sparkContext.broadcast(made)  # most_entries entries of 12 bytes, and as many cells, at most
+    k = min(max(LEAST_NEIGHBOURS, int(NEIGHBOUR_SHARE * made.n)), max(1, made.n - 2))
+    even = 1 / np.maximum(1, np.bincount(label, minlength=2))
+    votes, truth = example_votes(spark, index, k, even)
+    x, y = calibration(votes, truth, worth[truth])
+
     neighbour = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType())]))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("neighbours", neighbour)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, rate, plain, (x, y) = model.value
         for b in batches:
-            known: dict = {}
             scores, near = [], []
-            for terms, counts in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist()):
-                key = (tuple(terms), tuple(counts))
-                if key not in known:
-                    found = index.nearest(terms, counts, NEIGHBOURS) if index and terms else []
-                    evidence = [(d, round(cos, 6)) for cos, e in found[:5] for d in index.evidence[e][:1]]
-                    known[key] = (float(np.interp(index.votes(found, rate), x, y)) if found else plain, evidence)
-                s, e = known[key]
-                scores.append(s)
-                near.append([{"doc_id": d, "cosine": c} for d, c in e])
+            for text in b.column("text"):
+                terms, counts, any_words = lookup.value(text.as_py())
+                found = index.value.nearest(terms, counts, k + 1)
+                scores.append(float(np.interp(index.value.votes(found, k, even), x, y)) if len(found[0]) else rate if any_words else plain)
+                near.append([{"doc_id": d, "cosine": c} for d, c in zip(index.value.doc_id[found[1][:5]].tolist(), found[0][:5].round(6).tolist())])
             s = np.clip(np.asarray(scores, float), 0, 1)
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(near, kind)], names=["doc_id", "score", "predicted", "neighbours"])
 
-    return vectors.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def example_votes(spark, index, k: int, even: np.ndarray):
+    """(votes, labels) of the examples, each judged by the others; made in tasks, most_examples rows come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = index.value
+        by_owner = np.argsort(model.owner, kind="stable")
+        starts = np.searchsorted(model.owner[by_owner], np.arange(model.n + 1))
+        cell_term = np.repeat(np.arange(len(model.idf)), np.diff(model.term_start))
+        term = np.repeat(cell_term, np.diff(model.cell_start))
+        for b in batches:
+            at = b.column("id").to_pylist()
+            votes = []
+            for e in at:
+                mine = by_owner[starts[e] : starts[e + 1]]
+                found = model.nearest_of(term[mine], model.weight[mine], k + 1, e)
+                votes.append(model.votes(found, k, even) if len(found[0]) else -1.0)
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(model.label[at].astype(np.int32))], names=["vote", "label"])
+
+    got = spark.range(0, index.value.n).mapInArrow(run, "vote double, label int").toArrow()
+    vote, label = got.column("vote").to_numpy(), got.column("label").to_numpy().astype(np.int64)
+    return vote[vote >= 0], label[vote >= 0]
 
 
 def fold(c) -> F.Column:

@@ -91,18 +91,88 @@ def test_suffix_array_and_prefixes():
 
 def test_toxicity_search_is_exact():
     rng = random.Random(2)
-    entries = {}
-    for i in range(400):
-        terms = tuple(sorted(rng.sample(range(30), rng.randint(1, 6))))
-        entries[terms] = (terms, tuple(rng.randint(1, 4) for _ in terms), 1, rng.randint(0, 1), [i])
-    index = toxicity.Index(sorted(entries.values()), np.asarray([1 + (i % 7) / 3 for i in range(30)]))
-    for _ in range(60):
-        terms = sorted(rng.sample(range(30), rng.randint(1, 6)))
-        counts = [rng.randint(1, 4) for _ in terms]
-        q = dict(zip(terms, index.weights(terms, counts)))
-        force = sorted(((sum(x * v.get(t, 0) for t, x in q.items()), e) for e, v in enumerate(index.vectors)), key=lambda r: (-r[0], r[1]))
-        got = index.nearest(terms, counts, 9)
-        assert np.allclose([c for c, _ in got], [c for c, _ in force[:9]]) and len({e for _, e in got}) == 9
+    texts = [[rng.choice(range(30)) for _ in range(rng.randint(1, 9))] for _ in range(400)]
+    owner, term, count = map(np.asarray, zip(*((i, t, n) for i, x in enumerate(texts) for t, n in sorted(collections.Counter(x).items()))))
+    idf = np.asarray([1 + (i % 7) / 3 for i in range(30)])
+    index = toxicity.Index(owner, term, count, idf, np.zeros(400, int), np.arange(400), block=8, leaders=5)
+
+    def dense(x):
+        v = np.zeros(30)
+        for t, n in collections.Counter(x).items():
+            v[t] = (1 + np.log(n)) * idf[t]
+        return v / np.linalg.norm(v)
+
+    every = np.asarray([dense(texts[d]) for d in index.doc_id])
+    for k in (1, 9, 60, 399, 400, 500):
+        for _ in range(15):
+            x = [rng.choice(range(30)) for _ in range(rng.randint(1, 9))]
+            terms, counts = np.unique(x, return_counts=True)
+            cos, at = index.nearest(terms, counts, k)
+            force = every @ dense(x)
+            want = np.sort(force[force > 1e-12])[::-1][:k]
+            assert np.allclose(cos, want) and np.allclose(force[at], cos) and len(set(at.tolist())) == len(at)
+    assert len(index.nearest(np.zeros(0, int), np.zeros(0, int), 5)[0]) == 0
+
+
+def scores_by_force(rows, labels, label_rate):
+    """The whole score in plain loops: rows (id, text), labels {id: label}, one text per id and no two texts equal."""
+    bags = {d: collections.Counter(toxicity.words_of(t)) for d, t in rows}
+    df = collections.Counter(w for b in bags.values() for w in b)
+    known = sorted(d for d in labels if bags[d])
+    vocab = {w for d in known for w in bags[d]}
+    idf = {w: np.log((1 + len(rows)) / (1 + df[w])) + 1 for w in vocab}
+
+    def unit(bag):
+        v = {w: (1 + np.log(n)) * idf[w] for w, n in bag.items() if w in vocab}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / size for w, x in v.items()}
+
+    examples = {d: unit(bags[d]) for d in known}
+    sizes = collections.Counter(labels[d] for d in known)
+    k = min(max(25, len(known) // 16), len(known) - 2)
+
+    def share(v, without=None):
+        cos = sorted(((sum(x * e.get(w, 0) for w, x in v.items()), d) for d, e in examples.items() if d != without), reverse=True)
+        cos = [c for c in cos if c[0] > 1e-12][: k + 1]
+        floor = cos[k][0] if len(cos) > k else 0
+        votes = [(max(c - floor, 1e-12) / sizes[labels[d]], labels[d]) for c, d in cos[:k]]
+        return sum(w for w, y in votes if y) / sum(w for w, _ in votes) if votes else None
+
+    pools = []
+    rates = {1: label_rate / sizes[1], 0: (1 - label_rate) / sizes[0]}
+    for v, y in sorted((share(examples[d], d), labels[d]) for d in known):
+        pools.append([(v, y)])
+        rate = lambda p: sum(rates[y] * y for _, y in p) / sum(rates[y] for _, y in p)
+        while len(pools) > 1 and rate(pools[-2]) >= rate(pools[-1]):
+            pools[-2:] = [pools[-2] + pools[-1]]
+    total = [sum(rates[y] for _, y in p) for p in pools]
+    xs = [sum(rates[y] * v for v, y in p) / t for p, t in zip(pools, total)]
+    ys = np.maximum.accumulate([(sum(rates[y] * y for _, y in p) + t / len(p) / 2) / (t + t / len(p)) for p, t in zip(pools, total)])
+    return {d: label_rate if (s := share(unit(b))) is None else float(np.interp(s, xs, ys)) for d, b in bags.items() if b}
+
+
+def test_toxicity_by_force(spark):
+    rng = random.Random(41)
+    many = [f"{a}{b}" for a in "abcdefgh" for b in "mnopqrst"]
+    labels = {i: int(rng.random() < 0.25) for i in range(160)}
+    rows = [(i, prose(rng, rng.randint(5, 40), many) + (" foul" * rng.randint(1, 2) if labels.get(i) else "")) for i in range(200)]
+    rows += [(300, "unheard of"), (301, "zzz"), (302, None), (303, " 12 ")]
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs_of(spark, rows), table).collect()}
+    want = scores_by_force(rows, labels, sum(labels.values()) / len(labels))
+    assert set(want) == set(got) - {302, 303} and got[302] == got[303]
+    assert all(abs(got[d] - want[d]) < 1e-6 for d in want), [(d, got[d], want[d]) for d in want if abs(got[d] - want[d]) > 1e-6][:5]
+    assert got[300] == got[301] == sum(labels.values()) / len(labels) and len({got[i] for i in range(200)}) > 20
+
+
+def test_toxicity_of_repeated_rows_and_null_ids(spark):
+    rows, labels = toxic_corpus(300)
+    twice = [*rows, rows[0], rows[0], (None, "vile vile ab"), (None, "ab the of"), (7, "another text under one id, vile")]
+    got = toxicity.report(docs_of(spark, twice), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == len(twice) and len({r["score"] for r in got if r["doc_id"] == 0}) == 1
+    assert sorted(r["predicted"] for r in got if r["doc_id"] is None) == [0, 1]
+    bounded = toxicity.score(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), most_examples=60, most_entries=400).collect()
+    assert len(bounded) == 300 and len({r["score"] for r in bounded}) > 3
 
 
 def toxic_corpus(n=800):
@@ -567,6 +637,22 @@ def test_packing_plan_is_best_fit_decreasing():
         assert sorted(capacity - u for u in used.values()) == bins_by_force(lengths, capacity) and made == len(used)
 
 
+def pieces_by_contract(ids, capacity=1024):
+    """(piece, start, length, crc32): only longer documents are cut, into full pieces; the first one may be shorter."""
+    parts = []
+    while len(ids) > capacity:
+        ids, last = ids[:-capacity], ids[-capacity:]
+        parts.insert(0, last)
+    parts.insert(0, ids)
+    starts = [0, *itertools.accumulate(map(len, parts))]
+    return [(k, starts[k], len(p), zlib.crc32(np.asarray(p, "<u4").tobytes())) for k, p in enumerate(parts)]
+
+
+def test_pieces_by_contract():
+    assert [p[:3] for p in pieces_by_contract(list(range(2500)))] == [(0, 0, 452), (1, 452, 1024), (2, 1476, 1024)]
+    assert [p[:3] for p in pieces_by_contract(list(range(2048)))] == [(0, 0, 1024), (1, 1024, 1024)] and len(pieces_by_contract([2])) == 1
+
+
 def test_packing(spark, corpus):
     path = Q.tokenizer_path()
     rows = [*corpus, (800, prose(random.Random(1), 4000)), (801, "say <|endoftext|> twice"), (801, "say <|endoftext|> twice")]
@@ -576,8 +662,7 @@ def test_packing(spark, corpus):
     tokenizer = Tokenizer.from_file(path)
     want = []
     for d, t in rows:
-        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
-        want += [(d, k, at, len(p), zlib.crc32(np.asarray(p, "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 1024)) for p in [ids[at : at + 1024]]]
+        want += [(d, *p) for p in pieces_by_contract([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])]
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
     sequences = collections.defaultdict(list)
     for r in got:
