@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, fingerprint, linededup, packing, quality, sharding, simhash, suffix_dedup, toxicity, urlfilter
 from .common import table
@@ -22,7 +23,8 @@ def tokenizer_path() -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("kept")
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("changed"), "text")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

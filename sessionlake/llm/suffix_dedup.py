@@ -349,12 +349,13 @@ def repeated_windows(docs: DataFrame, length: int = 400, most_in_shard: int = MO
     """doc_id, text_hash, first, last: runs of starts of windows that are found elsewhere too; docs as _keyed gives them."""
     spark = docs.sparkSession
     found = store(spans(docs, length, block), "spans")
-    twice = found.groupBy("h").agg(F.sum("n").alias("spans")).filter(F.col("spans") > 1).select("h")
+    # written down, so that both sides of the join are dealt out for it alone and a hot minimizer's partition can be split
+    twice = store(found.groupBy("h").agg(F.sum("n").alias("spans")).filter(F.col("spans") > 1).select("h"), "shared-minimizers")
     all_spans = store(found.join(twice, "h", "left_semi"), "shared-spans")
     discard(spark, found._scratch_path)
     where = F.struct("doc_id", "text_hash", "start", "end")
     classes = store(all_spans.groupBy("h", "d1", "d2").agg(F.sum("n").alias("n"), F.min(where).alias("at")).select("h", "d1", "d2", "n", "at.*"), "span-classes")
-    by_h = classes.groupBy("h").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > 1)
+    by_h = store(classes.groupBy("h").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > 1), "mixed-minimizers")
     # equal spans: every window is a repeat
     copied = classes.filter(F.col("n") > 1).select("h", "d1", "d2")
     whole = all_spans.join(copied, ["h", "d1", "d2"], "left_semi").select("doc_id", "text_hash", F.col("start").alias("first"), F.col("stop").alias("last"))
@@ -370,14 +371,17 @@ def repeated_windows(docs: DataFrame, length: int = 400, most_in_shard: int = MO
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, **sizes: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256 of every row of docs (doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), text of every row of docs (doc_id, text).
+
+    text: the remaining bytes as a string; a character that is cut becomes U+FFFD.
+    """
     keyed = _keyed(docs)
     runs = repeated_windows(keyed, length, **sizes).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
     joined = keyed.join(runs, ["doc_id", "text_hash"], "left").select("doc_id", "text", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for text, first, last in zip(*(batch.column(n) for n in ("text", "first", "last"))):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 kept, removed, n = data, 0, 0
@@ -389,11 +393,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, **sizes: int) -> DataFram
                     end = far[np.concatenate([np.nonzero(new)[0][1:] - 1, [len(a) - 1]])]
                     n, removed = len(begin), int((end - begin).sum())
                     kept = b"".join(data[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(data)]))
-                for col, v in zip(out, (len(data), removed, n, kept, hashlib.sha256(kept).hexdigest())):
+                for col, v in zip(out, (len(data), removed, n, hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "replace"))):
                     col.append(v)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+                [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())))],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text"],
             )
 
-    got = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    got = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string")
     return got.withColumn("doc_id", F.nullif("doc_id", F.lit(_LEAST)))
