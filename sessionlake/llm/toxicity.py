@@ -6,10 +6,11 @@ terms, all of them, are the vocabulary.  Document frequencies, and so IDF, are
 counted over all documents.  A weight is (1 + ln count) * idf, scaled to length 1.
 
 Search: examples are put in order of the leader they resemble most and cut into
-blocks; the inverted index keeps a term's postings block by block, each with
-its largest weight.  A query adds up these maxima to a bound for every block,
-scores the blocks of the largest bounds, and then every further block whose
-bound reaches the k-th similarity found; the result is exactly the k nearest.
+blocks.  The inverted index keeps the postings of common terms block by block,
+each with its largest weight.  A query adds up the postings of its rare terms,
+then bounds every block by what these gave and the maxima of the common ones,
+scores the blocks of the largest bounds, and goes on while a block's bound
+reaches the k-th similarity found; the result is exactly the k nearest.
 
 Score: neighbours vote with the distance by which they are nearer than the
 next one, the (k+1)-th (Dudani's rule), examples of the less sampled label for
@@ -28,6 +29,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -44,15 +46,15 @@ from .common import discard, store
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents that are sampled for the fit, by hash of doc_id, half of them for either label; more labels change nothing.
-MOST_EXAMPLES = 8_192
+MOST_EXAMPLES = 6_144
 #: Entries (a term of an example) that the index may have; very long examples end the sample earlier.
-MOST_ENTRIES = 4_000_000
+MOST_ENTRIES = 3_000_000
 #: Neighbours: this share of the examples, or this many.
 NEIGHBOUR_SHARE, LEAST_NEIGHBOURS = 1 / 16, 25
 #: Examples in a block of the index, and leaders that put them in order.
-BLOCK, LEADERS = 128, 32
-#: Words of a text that are looked up at a time.
-WORDS_AT_A_TIME = 1 << 16
+BLOCK, LEADERS = 512, 32
+#: Terms that this share of the examples have are kept as rows of a whole block's weights.
+COMMON = 1 / 16
 
 
 def words_of(text: str | None) -> list[str]:
@@ -88,10 +90,9 @@ class Lookup:
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, bool]:
         found = words_of(text)
-        get = self.place.get
-        parts = [np.fromiter((i for i in map(get, found[s : s + WORDS_AT_A_TIME]) if i is not None), np.int64) for s in range(0, len(found), WORDS_AT_A_TIME)]
-        terms, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
-        return terms, counts, bool(found)
+        terms, counts = np.unique(np.fromiter(map(self.place.get, found, itertools.repeat(-1)), np.int64, len(found)), return_counts=True)
+        known = int(np.searchsorted(terms, 0))
+        return terms[known:], counts[known:], bool(found)
 
 
 def document_frequencies(docs: DataFrame, lookup, size: int) -> tuple[np.ndarray, int]:
@@ -113,36 +114,39 @@ def document_frequencies(docs: DataFrame, lookup, size: int) -> tuple[np.ndarray
     return df[:size], int(df[size])
 
 
-def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """All places of the runs (start, length), one run after the other."""
-    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-
-
 class Index:
     """Block-max inverted index over the unit vectors of examples.
 
     owner, term, count: the entries, sorted by owner; label and doc_id: of each
-    owner.  Entries lie by (term, block, example); a cell is a term's entries
-    in one block, with the largest weight.
+    owner.  Postings lie by (term, example).  Terms that `common` of the
+    examples or more have are kept block by block as rows of all the block's
+    weights (in single precision), with each row's largest weight.
     """
 
-    def __init__(self, owner: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, label: np.ndarray, doc_id: np.ndarray, block: int = BLOCK, leaders: int = LEADERS):
+    def __init__(self, owner: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, label: np.ndarray, doc_id: np.ndarray, block: int = BLOCK, leaders: int = LEADERS, common: float = COMMON):
         self.idf, self.n, self.block = idf, len(label), block
         weight = (1 + np.log(count)) * idf[term]
-        norm = np.sqrt(np.bincount(owner, weight * weight, self.n))
-        weight /= norm[owner]
+        weight /= np.sqrt(np.bincount(owner, weight * weight, self.n))[owner]
         place = self._order(owner, term, weight, leaders)
+        # the examples' own vectors, to judge them by the others
+        self.place, self.start, self.terms, self.counts = place, np.searchsorted(owner, np.arange(self.n + 1)), term.astype(np.int32), count.astype(np.int32)
         self.label, self.doc_id = np.empty(self.n, np.int64), np.empty(self.n, np.int64)
         self.label[place], self.doc_id[place] = label, doc_id
         owner = place[owner]
-        by = np.lexsort((owner, term))
-        term, self.owner, self.weight = term[by], owner[by].astype(np.int32), weight[by]
-        cell = np.nonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (self.owner[1:] // block != self.owner[:-1] // block)]))[0] if len(term) else np.zeros(0, np.int64)
-        self.cell_start = np.concatenate([cell, [len(term)]]).astype(np.int64)
-        self.cell_block = (self.owner[cell] // block).astype(np.int32)
-        self.cell_max = np.maximum.reduceat(self.weight, cell) if len(cell) else np.zeros(0)
-        self.term_start = np.searchsorted(term[cell], np.arange(len(idf) + 1))
         self.blocks = -(-self.n // block)
+        held = np.bincount(term, minlength=len(idf))
+        often = np.nonzero(held >= max(2, common * self.n))[0]
+        self.row = np.full(len(idf), -1)
+        self.row[often] = np.arange(len(often))
+        row = self.row[term]
+        # (block, term, example in the block): what a query reads of a block lies together
+        self.dense = np.zeros((self.blocks, len(often), block), np.float32)
+        mine = row >= 0
+        self.dense[owner[mine] // block, row[mine], owner[mine] % block] = weight[mine]
+        self.most = self.dense.max(2).T.copy() if len(often) else np.zeros((0, self.blocks), np.float32)
+        by = np.lexsort((owner[~mine], term[~mine]))
+        term, self.owner, self.weight = term[~mine][by], owner[~mine][by].astype(np.int64), weight[~mine][by]
+        self.term_start = np.searchsorted(term, np.arange(len(idf) + 1))
 
     def _order(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, leaders: int) -> np.ndarray:
         """Places at which examples that are nearest to the same leader stand together."""
@@ -159,34 +163,33 @@ class Index:
         place[np.argsort(which, kind="stable")] = np.arange(self.n)
         return place
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(cosines, examples) of the k nearest with a cosine above 0, nearest first (ties: the first examples)."""
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, examples) of the k nearest with a cosine above 0, nearest first (ties: the first examples); without: an example to leave out."""
+        if not len(terms):
+            return np.zeros(0), np.zeros(0, int)
         w = (1 + np.log(counts)) * self.idf[terms]
-        return self.nearest_of(terms, w / np.sqrt((w * w).sum()) if len(w) else w, k)
-
-    def nearest_of(self, terms: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """nearest() for a unit vector; without: an example to leave out."""
-        lo, n = self.term_start[terms], self.term_start[terms + 1] - self.term_start[terms]
-        cells, at = _spread(lo, n), np.repeat(w, n)
-        blocks = self.cell_block[cells]
-        # what rounding may take from a bound
-        bound = np.bincount(blocks, at * self.cell_max[cells], self.blocks) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
-        score = np.zeros(self.n)
-        left, first = order, max(1, -(-2 * (k + 1) // self.block))
+        w /= np.sqrt((w * w).sum())
+        rows = self.row[terms]
+        rare, rows, at = rows < 0, rows[rows >= 0], w[rows >= 0]
+        start, size = self.term_start[terms[rare]], self.term_start[terms[rare] + 1] - self.term_start[terms[rare]]
+        entries = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score = np.bincount(self.owner[entries], self.weight[entries] * np.repeat(w[rare], size), self.blocks * self.block).astype(float).reshape(self.blocks, self.block)
+        # the most that an example of a block can have: what rare terms gave it, and the largest weights of the others; a hair more for rounding
+        at = at.astype(np.float32)
+        bound = (score.max(1) + at @ self.most[rows]) * (1 + 1e-5)
+        left, first, done, least = np.argsort(-bound, kind="stable"), max(1, -(-2 * k // self.block)), np.zeros(self.blocks, bool), 0.0
         while len(left):
-            now = np.zeros(self.blocks, bool)
-            now[left[:first]] = True
-            mine = now[blocks]
-            run, size = self.cell_start[cells[mine]], self.cell_start[cells[mine] + 1] - self.cell_start[cells[mine]]
-            entries = _spread(run, size)
-            score += np.bincount(self.owner[entries], self.weight[entries] * np.repeat(at[mine], size), self.n)
+            for b in left[:first].tolist():
+                score[b] += at @ self.dense[b][rows]
+            done[left[:first]] = True
             if without >= 0:
-                score[without] = 0
-            least = np.partition(score, -k)[-k] if self.n > k else 0.0
+                score[divmod(without, self.block)] = 0
+            seen = score[done].ravel()
+            least = np.partition(seen, -k)[-k] if len(seen) > k else 0.0
             left = left[first:]
-            left = left[(bound[left] >= least) & (bound[left] > 0)]
-            first = len(left)
+            left, first = left[(bound[left] >= least) & (bound[left] > 0)], max(1, first // 2)
+        score[~done] = 0
+        score = score.ravel()
         top = np.nonzero(score >= max(least, 1e-300))[0]
         top = top[np.lexsort((top, -score[top]))][:k]
         return score[top], top
@@ -254,7 +257,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_exa
     idf = np.log((1 + n) / (1 + df)) + 1
     owner = np.repeat(np.arange(len(label)), sizes[sizes > 0])
     made = Index(owner, numbers, pc.list_flatten(got.column("counts")).to_numpy(), idf, label, got.column("doc_id").to_numpy())
-    index = spark.sparkContext.broadcast(made)  # most_entries entries of 12 bytes, and as many cells, at most
+    index = spark.sparkContext.broadcast(made)  # 24 bytes an entry, and rows of 4 / COMMON bytes an entry at most
     k = min(max(LEAST_NEIGHBOURS, int(NEIGHBOUR_SHARE * made.n)), max(1, made.n - 2))
     even = 1 / np.maximum(1, np.bincount(label, minlength=2))
     votes, truth = example_votes(spark, index, k, even)
@@ -278,23 +281,18 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_exa
     return rows.mapInArrow(run, schema)
 
 
-def example_votes(spark, index, k: int, even: np.ndarray):
+def example_votes(spark, index, k: int, even: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(votes, labels) of the examples, each judged by the others; made in tasks, most_examples rows come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = index.value
-        by_owner = np.argsort(model.owner, kind="stable")
-        starts = np.searchsorted(model.owner[by_owner], np.arange(model.n + 1))
-        cell_term = np.repeat(np.arange(len(model.idf)), np.diff(model.term_start))
-        term = np.repeat(cell_term, np.diff(model.cell_start))
         for b in batches:
-            at = b.column("id").to_pylist()
-            votes = []
-            for e in at:
-                mine = by_owner[starts[e] : starts[e + 1]]
-                found = model.nearest_of(term[mine], model.weight[mine], k + 1, e)
-                votes.append(model.votes(found, k, even) if len(found[0]) else -1.0)
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(model.label[at].astype(np.int32))], names=["vote", "label"])
+            own, votes, labels = index.value, [], []
+            for e in b.column("id").to_pylist():
+                mine = slice(own.start[e], own.start[e + 1])
+                found = own.nearest(own.terms[mine], own.counts[mine], k + 1, own.place[e])
+                votes.append(own.votes(found, k, even) if len(found[0]) else -1.0)
+                labels.append(own.label[own.place[e]])
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(labels, pa.int32())], names=["vote", "label"])
 
     got = spark.range(0, index.value.n).mapInArrow(run, "vote double, label int").toArrow()
     vote, label = got.column("vote").to_numpy(), got.column("label").to_numpy().astype(np.int64)

@@ -89,12 +89,13 @@ def test_suffix_array_and_prefixes():
 # 2
 
 
-def test_toxicity_search_is_exact():
+@pytest.mark.parametrize("common", [0, 0.2, 2])
+def test_toxicity_search_is_exact(common):
     rng = random.Random(2)
     texts = [[rng.choice(range(30)) for _ in range(rng.randint(1, 9))] for _ in range(400)]
     owner, term, count = map(np.asarray, zip(*((i, t, n) for i, x in enumerate(texts) for t, n in sorted(collections.Counter(x).items()))))
     idf = np.asarray([1 + (i % 7) / 3 for i in range(30)])
-    index = toxicity.Index(owner, term, count, idf, np.zeros(400, int), np.arange(400), block=8, leaders=5)
+    index = toxicity.Index(owner, term, count, idf, np.zeros(400, int), np.arange(400), block=8, leaders=5, common=common)
 
     def dense(x):
         v = np.zeros(30)
