@@ -480,8 +480,9 @@ def test_line_dedup(spark, corpus):
     rng = random.Random(2)
     rows = [(d, t if rng.random() < 0.5 else "\n".join([t or "", *rng.choices(common[:4], k=3), ""])) for d, t in corpus]
     rows += [(300, common[4]), (301, common[4]), (302, common[0] + "\n" + common[1]), (302, common[0])]
-    got = linededup.report(docs_of(spark, rows)).collect()
-    assert sorted(map(tuple, got), key=str) == lines_by_force(rows)
+    for options in ({}, {"most_broadcast": 3}, {"most_broadcast": 0, "batches": 1}):
+        got = linededup.report(docs_of(spark, rows), **options).collect()
+        assert sorted(map(tuple, got), key=str) == lines_by_force(rows)
     assert linededup.report(docs_of(spark, [])).count() == 0
 
 
@@ -493,7 +494,30 @@ def test_line_runs(spark, tmp_path):
         fresh = {r["h1"] for r in runs.admit(batch).collect()}
         assert fresh == {r["h1"] for r in batch.collect()} - seen
         seen |= fresh
-    assert [len(level) for level in runs.levels] == [1, 0, 1] and {r["h1"] for r in runs.totals().collect()} == seen
+    assert [len(level) for level in runs.levels] == [1, 0, 1] and sorted(r["h1"] for r in runs.runs().collect()) == sorted(seen)
+
+
+def test_line_runs_keep_counts(spark, tmp_path):
+    rng = random.Random(17)
+    runs = linededup.LineRuns(spark, str(tmp_path / "runs"), fanout=2)
+    rows = [(d, rng.choice([1, 1, 1, rng.randrange(40)]), 7) for d in range(200) for _ in range(2)]  # hash 1 is in nearly all documents
+    for b in range(5):
+        runs.add(spark.createDataFrame([r for r in rows if r[0] % 5 == b], "doc_id long, h1 long, h2 long"))
+    held = collections.defaultdict(set)
+    for d, h, _ in rows:
+        held[h].add(d)
+    got = {r["h1"]: (r["n_docs"], r["top"]) for r in runs.repeated(3).collect()}
+    assert got == {h: (len(x), max(x)) for h, x in held.items() if len(x) >= 3}
+    assert sorted(r["h1"] for r in runs.runs().collect()) == sorted(held)  # each hash in one run only
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    line = "a line that is long enough to be told apart"
+    rows = [(i, f"{line}\nown {i}", 1, 2, 3, 4, 5, "x", 6) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, row int, gone int, h1 int, text_hash int, `a.b` string, __n_lines int")
+    out = linededup.dedup(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(i, f"own {i}" if i < 3 else rows[3][1], *rows[i][2:]) for i in range(4)]
 
 
 # 8
