@@ -6,7 +6,10 @@ they are called, never change a result.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -36,31 +39,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset: the warehouse, or, if all of Spark is in this process, a
+    temporary folder that goes with it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="sessionlake-")
+        if spark.sparkContext.master.partition("[")[0] == "local":
+            found = tempfile.mkdtemp(prefix="sessionlake-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
+        else:
+            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-#: Folders that this process has made for intermediate tables, in order.
-_MADE: list[str] = []
+class _Made(threading.local):
+    """Folders that this thread has made for intermediate tables, in order; other threads' queries keep theirs."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_MADE = _Made()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    _MADE.paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE.paths[-1]
 
 
 def made() -> int:
-    return len(_MADE)
+    return len(_MADE.paths)
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """name, with underscores before it as far as a column is called so already (names differ in more than case)."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
 
 
 def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
     """Delete intermediate tables made since a mark (made()), once what was built on them has been written."""
-    gone = [p for p in _MADE[since:] if p not in keep]
-    _MADE[since:] = [p for p in _MADE[since:] if p in keep]
+    gone = [p for p in _MADE.paths[since:] if p not in keep]
+    _MADE.paths[since:] = [p for p in _MADE.paths[since:] if p in keep]
     for path in gone:
         discard(spark, path)
 

@@ -62,7 +62,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     forms = store(fingerprints(docs, id_col, text_col).select("doc_id", "fingerprint", "form", F.sha2("form", 256).alias("bytes_id")), "canonical-forms")
     # classes of equal bytes within each bucket; sha-256 of the bytes tells apart the classes of a bucket when rows look theirs up
-    classes = forms.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.first("bytes_id").alias("bytes_id")).select("fingerprint", "bytes_id", "group_id")
+    classes = store(forms.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.first("bytes_id").alias("bytes_id")).select("fingerprint", "bytes_id", "group_id"), "classes")
     return forms.select("doc_id", "fingerprint", "bytes_id").join(classes, ["fingerprint", "bytes_id"]).select("doc_id", "fingerprint", "group_id")
 
 
@@ -81,7 +81,10 @@ def with_edits(docs: DataFrame) -> DataFrame:
     cuts = sorted(set(ids.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []))
     lower = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
     # range 0 has the largest ids
-    part = (F.lit(len(cuts)) - F.size(F.filter(lower, lambda c: F.col("key") > c))).cast("int")
+    # how many bounds are below the key, by binary search
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))]) if cuts else F.array().cast("array<int>")
+    below = F.reduce(steps, F.lit(0), lambda at, s: F.when((at + s <= len(cuts)) & (F.get(lower, at + s - 1) < F.col("key")), at + s).otherwise(at))
+    part = (F.lit(len(cuts)) - below).cast("int")
     heads = {r["part"]: r["head"] for r in ids.select(part.alias("part"), "key").groupBy("part").agg(F.max("key").alias("head")).collect()}  # a row for each range
     order = sorted(heads)
     #: key of a range's first document -> the range before it (for the first of all: the last)
@@ -128,12 +131,13 @@ def grouped(docs: DataFrame) -> DataFrame:
     """
     got = store(with_edits(docs), "fingerprints")
     ids = got.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("key"), "fingerprint")
-    shared = ids.groupBy("fingerprint").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("fingerprint")
+    # written down, so that both sides of the join are dealt out for it alone and a hot fingerprint's partition can be split
+    shared = store(ids.groupBy("fingerprint").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("fingerprint"), "shared-fingerprints")
     met = store(ids.join(shared, "fingerprint").distinct(), "shared-buckets")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     at = met.select(F.col("key").alias("doc_id")).distinct()
     texts = keyed.join(F.broadcast(at) if met.count() <= MOST_BROADCAST_DOCS else at, "doc_id", "left_semi")
-    groups = exact_groups(texts).groupBy(F.col("doc_id").alias("key"), "fingerprint").agg(F.min("group_id").alias("group_id"))
+    groups = store(exact_groups(texts).groupBy(F.col("doc_id").alias("key"), "fingerprint").agg(F.min("group_id").alias("group_id")), "groups")
     out = got.withColumn("key", F.coalesce("doc_id", F.lit(_LEAST))).join(groups, ["key", "fingerprint"], "left")
     return out.withColumn("group_id", F.nullif(F.coalesce("group_id", "key"), F.lit(_LEAST))).drop("key")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, text_buffers
+from .common import blocks, fresh, text_buffers
 
 DIMS = 1 << 14
 WIDTH = DIMS + 256 + 1
@@ -191,5 +191,8 @@ def report(docs: DataFrame, ratings: DataFrame, least: float = 0.5) -> DataFrame
 
 def select(docs: DataFrame, ratings: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows of docs, columns unchanged, whose tail probability is at least `least`."""
-    got = with_grades(docs.withColumn("text", F.col("text").cast("string")), train(docs, ratings), prefix="__")
-    return got.filter(F.col("__tail_probability") >= least).select(*docs.columns)
+    prefix = "_"
+    while any(fresh(docs.columns, f"{prefix}{n}") != f"{prefix}{n}" for n in ("expected_grade", "tail_probability")):
+        prefix += "_"
+    got = with_grades(docs.withColumn("text", F.col("text").cast("string")), train(docs, ratings), prefix=prefix)
+    return got.filter(F.col(f"{prefix}tail_probability") >= least).drop(f"{prefix}expected_grade", f"{prefix}tail_probability")

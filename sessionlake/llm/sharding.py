@@ -5,27 +5,32 @@ tiered by size: as soon as a tier has `fanout` runs, they are merged into one
 run of files near the target size.  Whatever changes, a new manifest
 version is committed: it is written beside its place and renamed into it, so a
 reader sees a version as a whole or not at all, and a version that another
-writer has taken is not overwritten.  Files are deleted only by `vacuum`, when
-no version that is kept names them; a job that fails leaves the last version
-as it was.
+writer has taken is not overwritten (where renaming would overwrite, as in
+local folders, a link is made instead, which fails if the name is there).  An
+append that loses such a race is committed again after the version that won; a
+compaction gives up its run.  Files are deleted only by `vacuum`, when no
+version that is kept names them; a job that fails leaves the last version as it
+was, and vacuum finds the run that it left.
 
 Defined results: rows and all columns (nulls, long texts, repeats) come back as
-they were; an arrival without rows adds no run; an empty store reads as no rows
-of the given schema.
+they were, whatever the columns are called; an arrival without rows adds no
+run; an empty store reads as no rows of the given schema.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, filesystem, scratch
+from .common import discard, filesystem, fresh, scratch
 
 TARGET_BYTES = 64 << 20
 FANOUT = 4
@@ -85,11 +90,38 @@ class ShardStore:
             stream.write(bytearray(json.dumps({"version": version + 1, "runs": [asdict(r) for r in runs]}, indent=1).encode()))
         finally:
             stream.close()
-        if fs.exists(at) or not fs.rename(beside, at):
+        try:
+            if not self._named(fs, beside, at):
+                raise VersionTaken(str(at))
+        finally:
             fs.delete(beside, False)
-            raise VersionTaken(str(at))
         return version + 1
 
+    def _named(self, fs, beside, at) -> bool:
+        """Give the file `beside` the name `at`; False if that is taken."""
+        if fs.getUri().getScheme() != "file":
+            return not fs.exists(at) and fs.rename(beside, at)
+        nio = self.spark._jvm.java.nio.file
+        place = lambda p: nio.Paths.get(fs.makeQualified(p).toUri())
+        try:
+            nio.Files.createLink(place(at), place(beside))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        return True
+
+    def _add(self, run: Run, tries: int = 20) -> int:
+        """Commit the present runs and `run`, after whatever others commit meanwhile."""
+        for left in reversed(range(tries)):
+            version, runs = self.manifest()
+            try:
+                return self.commit(version, [*runs, run])
+            except VersionTaken:
+                if not left:
+                    raise
+        raise AssertionError
+
     # writing
 
     def _measured(self, path: str) -> Run | None:
@@ -104,23 +136,21 @@ class ShardStore:
     def append(self, df: DataFrame) -> int:
         """Add an arrival as a run of its own; the version that has it."""
         path = f"{self.path}/runs/{uuid.uuid4().hex}"
-        df.select(*self.schema.names).write.parquet(path)
-        version, runs = self.manifest()
+        df.select(*self._columns()).write.parquet(path)
         run = self._measured(path)
-        return self.commit(version, [*runs, run]) if run else version
+        return self._add(run) if run else self.manifest()[0]
 
     def append_all(self, df: DataFrame, arrival) -> int:
         """Add many arrivals, told apart by the integer column `arrival`, in one pass over df; a version for each."""
         path = f"{self.path}/runs/{uuid.uuid4().hex}"
-        df.select(*self.schema.names, arrival.cast("int").alias("__arrival")).write.partitionBy("__arrival").parquet(path)
+        name = fresh(self.schema.names, "arrival")
+        df.select(*self._columns(), arrival.cast("int").alias(name)).write.partitionBy(name).parquet(path)
         fs, at = filesystem(self.spark, path)
-        found = sorted((s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("__arrival=")), key=lambda p: int(p.getName().partition("=")[2]))
-        version, runs = self.manifest()
+        found = sorted((s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith(f"{name}=")), key=lambda p: int(p.getName().partition("=")[2]))
         for p in found:
             if run := self._measured(p.toString()):
-                runs = [*runs, run]
-                version = self.commit(version, runs)
-        return version
+                self._add(run)
+        return self.manifest()[0]
 
     def compact(self) -> int:
         """Merge tiers that are full, from the smallest on, until none is; the last version."""
@@ -136,10 +166,18 @@ class ShardStore:
             path = f"{self.path}/runs/{uuid.uuid4().hex}"
             # whole input partitions are put together into each file: no shuffle
             self.spark.read.schema(self.schema).parquet(*(r.path for r in full)).coalesce(files).write.parquet(path)
-            self.commit(version, [*(r for r in runs if r not in full), self._measured(path)])
-
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete runs that none of the last versions names, and older manifests; how many runs went."""
+            try:
+                self.commit(version, [*(r for r in runs if r not in full), self._measured(path)])
+            except VersionTaken:
+                discard(self.spark, path)
+                raise
+
+    def vacuum(self, keep_versions: int = 1, orphans_after: float = 7 * 86400) -> int:
+        """Delete runs that none of the last versions names, and older manifests; how many runs went.
+
+        Runs that no version names at all may be another writer's, not yet
+        committed; they go when they are orphans_after seconds old.
+        """
         known = self.versions()
         kept = {r.path for v in known[-keep_versions:] for r in self.manifest(v)[1]}
         gone = {r.path for v in known[:-keep_versions] for r in self.manifest(v)[1]} - kept
@@ -147,16 +185,26 @@ class ShardStore:
             discard(self.spark, path)
         for v in known[:-keep_versions]:
             discard(self.spark, f"{self.path}/manifest/v{v:08d}.json")
+        fs, at = filesystem(self.spark, f"{self.path}/runs")
+        named = {part for path in kept for part in path.split("/")}
+        orphans = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName() not in named and s.getModificationTime() / 1000 <= time.time() - orphans_after] if fs.exists(at) else []
+        for p in orphans:
+            # folders of arrivals whose runs have all been merged are empty by now
+            gone |= {p.toString()} if fs.getContentSummary(p).getFileCount() else set()
+            fs.delete(p, True)
         return len(gone)
 
     # reading
 
     def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a version, with __shard (the file that holds the row)."""
+        """Rows of a version."""
         _, runs = self.manifest(version)
         if not runs:
-            return self.spark.createDataFrame([], self.schema).withColumn("__shard", F.lit(""))
-        return self.spark.read.schema(self.schema).parquet(*(r.path for r in runs)).select(*self.schema.names, F.col("_metadata.file_name").alias("__shard"))
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(r.path for r in runs))
+
+    def _columns(self) -> list[Column]:
+        return [F.col(f"`{n.replace('`', '``')}`") for n in self.schema.names]
 
 
 def report(docs: DataFrame, arrivals: int = 8) -> DataFrame:
@@ -175,7 +223,7 @@ def report(docs: DataFrame, arrivals: int = 8) -> DataFrame:
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("stored_chars"),
-        F.col("__shard").alias("shard"),
+        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("shard"),
         F.lit(version).cast("long").alias("version"),
         F.lit(len(runs)).cast("long").alias("runs"),
         F.lit(sum(r.files for r in runs)).cast("long").alias("shards"),

@@ -578,5 +578,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, planes: i
     share, bits = bits_at(similarity), 64 * planes
     radius = round(share * bits + 2 * math.sqrt(share * (1 - share) * bits))
     got = near_duplicates(docs, words, radius, planes, 1 - share, similarity)
-    heads = got.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("head"))).select(F.col("doc_id").alias("__head"), F.col("head").alias("__hash")).distinct()
-    return docs.join(heads, docs["doc_id"].cast("long").eqNullSafe(F.col("__head")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hash")), "left_semi")
+    heads = store(got.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("head"))).select(F.coalesce("doc_id", F.lit(_LEAST)).alias("at"), F.col("head").alias("hash")).distinct(), "kept-documents")
+    # as one column the rows keep clear of the names used here
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("at"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    return rows.join(heads, ["at", "hash"], "left_semi").select("row.*")

@@ -17,6 +17,7 @@ each time; an empty list gives every page the default verdict.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, store
 
 BLOCK_WORDS = 8  # 64-bit words in a block
 PROBES = 8
@@ -85,16 +86,17 @@ def build_bloom(listed: DataFrame, n: int) -> BlockedBloom:
     return out
 
 
-def judge(pages: DataFrame, listed: DataFrame, default: str = "allow", most_filter_mb: int = 64) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, default: str = "allow", filter_mb: float = 64) -> DataFrame:
     """page_id, host, path, rule, verdict of every page.
 
     listed: entry (canonical URL), host, path, verdict, shown (what `rule` says;
-    null where the entry is no rule of its own).  The Bloom filter is
-    broadcast, so it is made only while it stays under most_filter_mb; a longer
-    list goes to the exact join directly.
+    null where the entry is no rule of its own).  The Bloom filter is broadcast;
+    a list that needs more than filter_mb is cut by hash into parts of that
+    size, and the pages are led past one part's filter after the other.
     """
     spark: SparkSession = pages.sparkSession
-    listed = listed.select("entry", "host", "path", "verdict", "shown").dropDuplicates(["entry"])
+    # written down, so that the exact join deals it out for itself and a hot entry's partition can be split
+    listed = store(listed.select("entry", "host", "path", "verdict", "shown").dropDuplicates(["entry"]), "url-list")
     about = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths"), F.max(F.size(F.split("host", r"\."))).alias("labels")).first()  # as many lengths as listed paths have
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     if not about["n"]:
@@ -107,21 +109,24 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow", most_filt
     cuts = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform("suffixes", lambda s: F.transform("cuts", lambda p: F.concat(s, p))))
     probes = rows.withColumns({"suffixes": suffixes, "cuts": cuts}).withColumn("keys", F.array_distinct(keys))
-    if about["n"] * BITS_A_KEY / 8e6 <= most_filter_mb:
-        bloom = spark.sparkContext.broadcast(build_bloom(listed, about["n"]))
-
-        def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """A row for each key that the filter lets pass."""
+    hashed = probes.select("page_id", "url", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("hashes"))
+    parts = math.ceil(about["n"] / max(1, int(filter_mb * 8e6 / BITS_A_KEY)))
+    found = None
+    for part in range(parts):
+        own = listed.filter(F.pmod(F.xxhash64("entry"), F.lit(parts)) == part)
+        bloom = spark.sparkContext.broadcast(build_bloom(own, own.count()))
+
+        def possible(batches: Iterator[pa.RecordBatch], bloom=bloom, part=part) -> Iterator[pa.RecordBatch]:
+            """A row for each of the part's keys that its filter lets pass."""
             for b in batches:
                 keys, hashes = b.column("keys"), b.column("hashes")
-                passed = np.nonzero(bloom.value.may_hold(np.asarray(hashes.flatten())))[0]
+                flat = np.asarray(hashes.flatten())
+                passed = np.nonzero((flat % parts == part) & bloom.value.may_hold(flat))[0]
                 row = np.searchsorted(np.asarray(hashes.offsets) - hashes.offsets[0].as_py(), passed, "right") - 1
                 yield pa.RecordBatch.from_arrays([b.column("page_id").take(pa.array(row)), b.column("url").take(pa.array(row)), keys.flatten().take(pa.array(passed))], names=["page_id", "url", "entry"])
 
-        hashed = probes.select("page_id", "url", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("hashes"))
-        found = hashed.mapInArrow(possible, f"page_id {dict(rows.dtypes)['page_id']}, url string, entry string")
-    else:
-        found = probes.select("page_id", "url", F.explode("keys").alias("entry"))
+        passed = hashed.mapInArrow(possible, f"page_id {dict(rows.dtypes)['page_id']}, url string, entry string")
+        found = passed if found is None else found.unionByName(passed)
     exact = listed.select("entry", "verdict", "shown")
     hits = found.join(F.broadcast(exact) if about["n"] <= MOST_BROADCAST_ENTRIES else exact, "entry")
     best = hits.groupBy("page_id", "url").agg(F.max_by(F.struct("verdict", "shown"), F.struct(F.col("shown").isNotNull(), F.length("entry"))).alias("best"))

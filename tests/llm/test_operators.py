@@ -416,8 +416,8 @@ def test_url_filter(spark):
     ]
     pages = spark.createDataFrame([(p, u, "<html>", "e") for p, u, *_ in urls], "page_id long, url string, html string, entry string")
     want = sorted((tuple(x for i, x in enumerate(u) if i != 1) for u in urls), key=str)
-    for most in (64, 0):  # with the filter, and without
-        got = urlfilter.judge(pages, urlfilter.entries(spark, Q.URL_RULES, Q.BLOCKED_URLS), most_filter_mb=most).select("page_id", "host", "path", "rule", "verdict").collect()
+    for most in (64, 1.6e-5):  # one filter, and three of eight entries each
+        got = urlfilter.judge(pages, urlfilter.entries(spark, Q.URL_RULES, Q.BLOCKED_URLS), filter_mb=most).select("page_id", "host", "path", "rule", "verdict").collect()
         assert sorted(map(tuple, got), key=str) == want
     assert urlfilter.judge(pages.limit(0), urlfilter.entries(spark, Q.URL_RULES, [])).count() == 0
     assert {r["verdict"] for r in urlfilter.judge(pages, urlfilter.entries(spark, [], []), default="block").collect()} == {"block"}
