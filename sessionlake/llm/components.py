@@ -11,18 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, store
+from .common import discard, made, release, store
+
+
+def _alone(least: DataFrame) -> DataFrame:
+    """Written down, so that both sides of the join with the links are dealt out for it alone and a hub's partition can be split."""
+    return store(least, "least-neighbours")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = _alone(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = _alone(down.groupBy("u").agg(F.min("v").alias("m")))
     hung = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x"))
     return hung.select("x.u", "x.v").filter("u != v").distinct()
 
@@ -33,7 +38,10 @@ def components(links: DataFrame) -> DataFrame:
     now = store(links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u != v").distinct(), "links")
     mark = None
     while True:
-        new = store(_small_star(_large_star(now)), "links")
+        since = made()
+        large = store(_large_star(now), "links")
+        new = store(_small_star(large), "links")
+        release(spark, since, keep=(new._scratch_path,))
         discard(spark, now._scratch_path)
         now = new
         # the links are a set, so an order-free sum of hashes and a count tell whether it has changed

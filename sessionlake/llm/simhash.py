@@ -13,9 +13,12 @@ Documents with the same fingerprint are one node.  Nodes meet in buckets:
   bits drawn from the fingerprint, as many as give a pair at the threshold a
   common bucket with the stated probability; b follows the number of nodes.
 In a bucket each node has a row in a table of its distances to reference
-fingerprints (pivots); a pair whose rows differ by more than the radius in any
-coordinate is discarded, which the triangle inequality allows, and the Hamming
-distance of the others is verified.  Links leave a task as a spanning forest.
+fingerprints (pivots).  A pair whose rows differ by more than the radius in any
+coordinate is discarded, which the triangle inequality allows: the first two
+pivots order the nodes, so that partners are looked up within the radius and
+other pairs are not formed, and the other pivots discard what is left but for
+few; the Hamming distance of these is verified.  Links leave a task as a
+spanning forest.
 Buckets above MOST_IN_TASK nodes are dealt out as blocks of a grid, so that no
 pair is left out and no task gets a whole hot bucket.
 
@@ -256,37 +259,43 @@ def _pairs_within(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.nd
         yield first, first + d
 
 
+def pivot_windows(groups: np.ndarray, table: np.ndarray, radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same (sorted) group whose distances to the first two pivots differ by radius or less, about `most` at a time.
+
+    Rows lie in order of (group, first distance, second distance), so the
+    partners of a row are found by binary search, in one window for each first
+    distance; pairs outside of the windows are never formed.
+    """
+    width = int(table.max(initial=0)) + 2 * radius + 2
+    group = np.cumsum(np.concatenate([[0], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, int)
+    first = group * width + table[:, 0]
+    place = first * width + table[:, 1] + radius
+    order = np.argsort(place, kind="stable")
+    first, second, place = first[order], table[order, 1].astype(np.int64), place[order]
+    for d in range(radius + 1):
+        start = np.searchsorted(place, (first + d) * width + second, "left") if d else np.arange(1, len(place) + 1)
+        n = np.maximum(np.searchsorted(place, (first + d) * width + second + 2 * radius, "right") - start, 0)
+        total = np.cumsum(n)
+        x = 0
+        while x < len(n) and total[-1] > (total[x - 1] if x else 0):
+            y = max(x + 1, int(np.searchsorted(total, (total[x - 1] if x else 0) + most, "right")))
+            i = np.repeat(np.arange(x, y), n[x:y])
+            j = np.repeat(start[x:y] - total[x:y] + n[x:y], n[x:y]) + np.arange(total[x] - n[x], total[y - 1])
+            yield order[i], order[j]
+            x = y
+
+
 def compare(groups: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
     """Least reachable row of each row, linking rows of the same (sorted) group within the radius.
 
     side: 0 where all pairs of a group are compared; rows of side 1 and 2 are
     compared across only (two blocks of a grid).
     """
-    n = len(groups)
-    cut = np.nonzero(np.diff(groups))[0] + 1
-    starts = np.concatenate([[0], cut])
-    sizes = np.diff(np.concatenate([starts, [n]]))
-    table = pivot_table(fp)
-    a, b = [], []
-    small = sizes <= 64
-    for i, j in _pairs_within(sizes[small], starts[small]):
+    table, label = pivot_table(fp), np.arange(len(groups))
+    for i, j in pivot_windows(groups, table, radius):
         ok = (side[i] == 0) | (side[i] != side[j])
         i, j = _verified(fp, table, i[ok], j[ok], radius)
-        a.append(i)
-        b.append(j)
-    label = forest(n, np.concatenate(a) if a else np.zeros(0, int), np.concatenate(b) if b else np.zeros(0, int))
-    for s, m in zip(starts[~small], sizes[~small]):
-        own = np.arange(s, s + m)
-        left, right = (own, own) if side[s] == 0 else (own[side[own] == 1], own[side[own] == 2])
-        for x, y in itertools.product(range(0, len(left), _STEP), range(0, len(right), _STEP)):
-            if side[s] == 0 and y < x:
-                continue
-            i, j = np.repeat(left[x : x + _STEP], len(right[y : y + _STEP])), np.tile(right[y : y + _STEP], len(left[x : x + _STEP]))
-            if side[s] == 0 and x == y:
-                i, j = i[i < j], j[i < j]
-            i, j = _verified(fp, table, i, j, radius)
-            grown = forest(n, label[i], label[j])  # links between the trees so far
-            label = grown[label]
+        label = forest(len(groups), label[i], label[j])[label]  # links between the trees so far
     return label
 
 
@@ -551,9 +560,10 @@ def near_duplicates(docs: DataFrame, words: int, radius: int, planes: int = 1, a
         rest = similar_links(docs, nodes, store(prefix_pairs(labelled, similarity), "prefix-pairs"), words, similarity)
         found = joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest)
     rooted = nodes.join(components(found), "node")
-    heads = rooted.groupBy("root").agg(F.min("rep").alias("first"))
+    # written down, so that a giant component, or a text with very many copies, can be split where it is joined
+    heads = store(rooted.groupBy("root").agg(F.min("rep").alias("first")), "component-heads")
     joined = rooted.join(heads, "root").select("node", "first")
-    named = nodes.join(joined, "node", "left").select("node", *names, F.coalesce("first", "rep").alias("first"))
+    named = store(nodes.join(joined, "node", "left").select("node", *names, F.coalesce("first", "rep").alias("first")), "named-nodes")
     return of.join(named, ["node", *names]).select("doc_id", "text_hash", *names, F.nullif("first.doc_id", F.lit(_LEAST)).alias("component_id"), F.col("first.text_hash").alias("head"))
 
 

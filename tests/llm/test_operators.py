@@ -312,6 +312,23 @@ def test_simhash_buckets_in_a_grid(spark, monkeypatch):
     assert sorted(map(sorted, mine.values())) == sorted(sorted(s) for s in force.values() if len(s) > 1)
 
 
+def test_pivot_windows_hold_every_near_pair_once():
+    rng = np.random.default_rng(19)
+    for n, groups, most in ((0, 1, 9), (1, 1, 9), (300, 3, 50), (300, 120, 1 << 21), (700, 1, 1000)):
+        group = np.sort(rng.integers(0, groups, n))
+        fp = rng.integers(0, 2**63, 8, dtype=np.uint64)[rng.integers(0, 8, n)]
+        for _ in range(3):
+            fp = fp ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+        table = simhash.pivot_table(fp[:, None])
+        got = [p for i, j in simhash.pivot_windows(group, table, 4, most) for p in zip(i.tolist(), j.tolist())]
+        d = np.bitwise_count(fp[:, None] ^ fp[None, :])
+        near = {(a, b) for a, b in zip(*np.nonzero((d <= 4) & (group[:, None] == group[None, :]))) if a < b}
+        pairs = {tuple(sorted(p)) for p in got}
+        assert len(pairs) == len(got) and near <= pairs and all(a != b and group[a] == group[b] for a, b in pairs)
+        close = np.abs(table[:, None, :2] - table[None, :, :2]).max(2) <= 4 if n else np.zeros((0, 0))
+        assert all(close[a, b] for a, b in pairs)
+
+
 def test_near_pairs_keep_every_level_joined():
     rng = np.random.default_rng(9)
     for sizes in ([5, 1, 40, 2], [300], [3, 120]):
