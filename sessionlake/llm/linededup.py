@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, discard, partitions, scratch, store
+from .common import ASCII_SPACE, ascii_lower, discard, filesystem, scratch, store
 
 _LEAST = -(2**63)
 #: Repeated keys that are broadcast (40 bytes each): the hottest, at most so many; the others have few documents each and are joined by a shuffle.
@@ -75,21 +75,24 @@ class LineRuns:
         if not any(self.levels):
             self._put(0, counted)
             return
+        # one merge join: its misses, the anti-join, are the new run, and its hits go beside the runs
         batch = f"{self.path}/batch-{self.made}"
-        counted.write.parquet(batch)
-        counted = self.spark.read.schema(RUN).parquet(batch)
-        known = self.runs().select("h1", "h2")
-        seen = f"{self.path}/again-{self.made}"
-        counted.join(known, ["h1", "h2"], "left_semi").write.parquet(seen)
-        self.again.append(seen)
-        self._put(0, counted.join(known, ["h1", "h2"], "left_anti"))
-        discard(self.spark, batch)
+        self.made += 1
+        known = self.runs().select("h1", "h2", F.lit(True).alias("known"))
+        told = counted.join(known, ["h1", "h2"], "left").withColumn("known", F.col("known").isNotNull())
+        told.sortWithinPartitions("known", "h1", "h2").write.partitionBy("known").parquet(batch)
+        fs, at = filesystem(self.spark, batch)
+        parts = {s.getPath().getName() for s in fs.listStatus(at)}
+        if "known=true" in parts:
+            self.again.append(f"{batch}/known=true")
+        if "known=false" in parts:
+            self.levels[0].append(f"{batch}/known=false")
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
             # a hash is in one of the runs only, so merging them is putting them in order
             merged = self.spark.read.schema(RUN).parquet(*old)
-            self._put(level + 1, merged.repartition(partitions(self.spark), "h1", "h2"))
+            self._put(level + 1, merged.repartition("h1", "h2"))
             self.levels[level] = []
             for run in old:
                 discard(self.spark, run)
