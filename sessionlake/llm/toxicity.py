@@ -46,9 +46,9 @@ from .common import discard, store
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents that are sampled for the fit, by hash of doc_id, half of them for either label; more labels change nothing.
-MOST_EXAMPLES = 6_144
+MOST_EXAMPLES = 5_120
 #: Entries (a term of an example) that the index may have; very long examples end the sample earlier.
-MOST_ENTRIES = 3_000_000
+MOST_ENTRIES = 2_500_000
 #: Neighbours: this share of the examples, or this many.
 NEIGHBOUR_SHARE, LEAST_NEIGHBOURS = 1 / 16, 25
 #: Examples in a block of the index, and leaders that put them in order.
