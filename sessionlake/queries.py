@@ -7,6 +7,10 @@ documents for text of all kinds.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,8 +22,13 @@ from .functions import timeconv as C
 from .functions import tools as Tl
 from .operators import discover as D
 from .operators import registry as R
-from .operators.merge import last_of_key, merge_rows
+from .operators import normalize as N
+from .operators.merge import Store, last_of_key, merge_rows, sessions_of
 from .plans import reports
+from .plans.ingest import source_counts
+from .schema import EVENT_KEY, REGISTRY_SCHEMA
+from .sources import headers as H
+from .sources import lines as L
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -61,8 +70,123 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_sessions(events: DataFrame) -> DataFrame:
-    spans = events.groupBy(F.col("session_id").alias("id")).agg(F.min("timestamp").alias("started_at"), F.max("timestamp").alias("ended_at"))
-    return spans.select("id", F.lit("Claude").alias("source"), "started_at", "ended_at", F.lit(None).cast("string").alias("project_path"))
+    """Sessions of calls(), which come from no file."""
+    files = events.sparkSession.createDataFrame([], "source_file string, mtime double, project_path string, metadata string")
+    return sessions_of(events.withColumn("source_file", F.lit(None).cast("string")), files)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A folder of its own in spark.checkpoint.dir; where that is unset, one that goes with this process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="sessionlake-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return f"{found}/{name}-{uuid.uuid4().hex}"
+
+
+# conversations as logs of the three formats
+
+
+def _members(**fields) -> F.Column:
+    """JSON text of an object; fields that are null are left out."""
+    return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())))
+
+
+def _records(spark: SparkSession, sf_dir: str, file: str, line_no, line) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select(F.concat(F.lit(f"/logs/{file}"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file_path"), F.lit(5.0).alias("mtime"), F.lit(1).cast("long").alias("size"), line_no.cast("long").alias("line_no"), line.alias("line"))
+    return rows
+
+
+def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of message logs: a file for each conversation, a line for each turn.
+
+    Users' records hold the result of the call in the turn before and a text;
+    the assistants' a text, but for every fourth turn a call, and sometimes a
+    text after it; the system's are of a type that is skipped.
+    """
+    turn, text = F.col("turn"), F.col("text")
+    block = "array<struct<type:string,text:string,id:string,name:string,input:struct<path:string,offset:int,junk:int,prompt:string>,tool_use_id:string,content:array<struct<type:string,text:string>>,is_error:boolean>>"
+    said = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))
+
+    def of(**fields) -> F.Column:
+        names = ["type", "text", "id", "name", "input", "tool_use_id", "content", "is_error"]
+        return F.struct(*(fields.get(n, F.lit(None)).alias(n) for n in names))
+
+    result = of(type=F.lit("tool_result"), tool_use_id=F.concat(F.lit("c"), (turn - 1).cast("string")), content=F.array(said(F.lit("did")), said(F.concat(text, text))), is_error=turn % 4 == 0)
+    spoken = of(type=F.lit("text"), text=F.when((F.col("role") == "user") & (turn % 3 == 0), F.concat(F.lit("  /"), text)).when(F.col("role") == "user", text).otherwise(F.concat(text, text)))
+    given = F.struct(F.when(turn % 2 == 0, F.concat(F.lit("/p"), F.col("conv_id").cast("string"))).alias("path"), F.when(turn % 2 == 0, turn).alias("offset"), turn.alias("junk"), F.when(turn % 2 == 1, F.concat(F.lit("look "), turn.cast("string"))).alias("prompt"))
+    call = of(type=F.lit("tool_use"), id=F.concat(F.lit("c"), turn.cast("string")), name=F.when(turn % 2 == 0, "Read").otherwise("Task"), input=given)
+    null = F.lit(None)
+    user = F.array_compact(F.array(F.when(turn > 0, result.cast(block[6:-1])).otherwise(null), spoken.cast(block[6:-1])))
+    model = F.array_compact(F.array(spoken.cast(block[6:-1]), F.when(turn % 4 != 3, call.cast(block[6:-1])).otherwise(null), F.when(turn % 4 == 1, spoken.cast(block[6:-1])).otherwise(null)))
+    message = F.struct(F.when(turn % 2 == 1, F.col("role")).alias("role"), F.when(F.length("text") > 300, "max_tokens").otherwise("end_turn").alias("stop_reason"), F.when(F.col("role") == "user", user).otherwise(model).alias("content"))
+    ms = F.lit(1_700_000_000_000) + F.col("conv_id") * 1_000_000 + turn * 1000
+    time = F.when(turn % 5 == 4, F.lit("null")).when(turn % 2 == 0, ms.cast("string")).otherwise(F.concat(F.lit('"'), F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('"')))
+    rest = _members(type=F.when(F.col("role") == "system", "progress").otherwise(F.col("role")), message=message)
+    return L.records(_records(spark, sf_dir, "s", turn + 1, F.concat(F.lit('{"timestamp":'), time, F.lit(","), F.substr(rest, F.lit(2)))))
+
+
+_BLOCKS = """
+talk AS (
+  SELECT *, turn + 1 AS line_no, 's' || conv_id AS session_id, CASE WHEN turn % 5 < 4 THEN CAST(1700000000000 + conv_id * 1000000 + turn * 1000 AS DOUBLE) END AS ts,
+    CASE WHEN role = 'user' THEN CASE WHEN turn % 3 = 0 THEN '  /' || text ELSE text END ELSE text || text END AS said FROM conversations WHERE role IN ('user', 'assistant')),
+blocks AS (
+  SELECT *, 0 AS pos, 'tool_result' AS block_type, false AS tool_follows FROM talk WHERE role = 'user' AND turn > 0
+  UNION ALL SELECT *, CASE WHEN turn > 0 THEN 1 ELSE 0 END, 'text', false FROM talk WHERE role = 'user'
+  UNION ALL SELECT *, 0, 'text', turn % 4 <> 3 FROM talk WHERE role = 'assistant'
+  UNION ALL SELECT *, 1, 'tool_use', false FROM talk WHERE role = 'assistant' AND turn % 4 <> 3
+  UNION ALL SELECT *, 2, 'text', false FROM talk WHERE role = 'assistant' AND turn % 4 = 1),
+called AS (SELECT conv_id, turn AS call_turn, CASE WHEN turn % 2 = 0 THEN 'Read' ELSE 'Task' END AS call_name FROM blocks WHERE block_type = 'tool_use'),
+answered AS (
+  SELECT b.*, c.call_name, CASE WHEN block_type = 'tool_result' THEN 'did' || chr(10) || text || text ELSE said END AS full_text
+  FROM blocks b LEFT JOIN called c ON block_type = 'tool_result' AND b.conv_id = c.conv_id AND call_turn = turn - 1),
+cut AS (
+  SELECT *, CASE WHEN role = 'user' AND block_type = 'text' THEN full_text
+    WHEN tool_follows THEN CASE WHEN length(full_text) > 200 THEN substring(full_text, 1, 199) || '…' ELSE full_text END
+    WHEN length(full_text) > 2000 THEN substring(full_text, 1, 1999) || '…' ELSE full_text END AS shown FROM answered),
+message_events AS (
+  SELECT session_id, CAST(line_no AS VARCHAR) AS event_id, line_no, pos AS block_pos,
+    CASE WHEN block_type = 'tool_use' THEN 'tool_call' WHEN role = 'user' THEN 'user_message' ELSE 'assistant_message' END AS event_type,
+    CASE WHEN block_type = 'tool_use' THEN NULL WHEN block_type = 'tool_result' THEN CASE WHEN turn % 4 = 0 THEN 'permission_denied' ELSE 'tool_result' END
+      WHEN role = 'user' THEN CASE WHEN turn % 3 = 0 THEN 'slash_command' ELSE 'prompt' END
+      WHEN tool_follows THEN 'dialog' WHEN length(text) > 300 THEN 'truncated' ELSE 'response' END AS subtype,
+    role, CASE WHEN block_type <> 'tool_use' THEN shown END AS content, CASE WHEN block_type <> 'tool_use' THEN length(full_text) END AS content_len,
+    CASE WHEN block_type = 'tool_use' THEN CASE WHEN turn % 2 = 0 THEN 'Read' ELSE 'Task' END ELSE call_name END AS tool_name,
+    CASE WHEN block_type = 'tool_use' THEN CASE WHEN turn % 2 = 0 THEN '{"path":"/p' || conv_id || '","offset":' || turn || '}' ELSE '{"prompt":"look ' || turn || '"}' END END AS tool_input,
+    CASE WHEN block_type = 'tool_result' THEN shown END AS tool_output, ts AS timestamp,
+    CASE WHEN block_type = 'tool_use' AND turn % 2 = 0 THEN '/p' || conv_id END AS file_path, '/logs/s' || conv_id || '.jsonl' AS source_file
+  FROM cut)"""
+
+
+def envelope_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of envelope logs: each conversation's file starts with a header, without an id in every seventh."""
+    c = table(spark, sf_dir, "conversations")
+    turn, conv = F.col("turn"), F.col("conv_id")
+    header = _members(type=F.lit("session_meta"), payload=F.struct(F.when(conv % 7 > 0, F.concat(F.lit("sess-"), conv.cast("string"))).alias("id"), F.concat(F.lit("/w/p"), (conv % 5).cast("string")).alias("cwd")))
+    item = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
+    said = F.struct(F.lit("message").alias("type"), F.when(F.col("role") == "user", "user").when(turn % 4 == 3, "assistant").otherwise("developer").alias("role"), F.array(item("input_text", F.col("text")), item("other", F.lit("more"))).alias("content"))
+    note = F.struct(F.lit("turn_aborted").alias("type"), F.struct(F.concat(F.lit("x"), conv.cast("string")).alias("why")).alias("info"))
+    seconds = F.lit(1_700_000_000) + turn
+    time = F.when(turn % 2 == 0, seconds).otherwise(seconds * 1000).cast("long")
+    line = F.when(F.col("role") == "system", _members(type=F.lit("event_msg"), timestamp=time, payload=note)).otherwise(_members(type=F.lit("response_item"), timestamp=time, payload=said))
+    heads = c.select("conv_id").distinct().select(F.lit(1).alias("line_no"), header.alias("line"), "conv_id")
+    rows = heads.unionByName(c.select((turn + 2).alias("line_no"), line.alias("line"), "conv_id"))
+    return L.records(rows.select(F.concat(F.lit("/logs/e"), conv.cast("string"), F.lit(".jsonl")).alias("file_path"), F.lit(5.0).alias("mtime"), F.lit(1).cast("long").alias("size"), F.col("line_no").cast("long").alias("line_no"), "line"))
+
+
+def bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a key/value store; clocks run backwards, and the first turn has none."""
+    turn = F.col("turn")
+    results = F.array(F.struct(F.lit("Read").alias("toolName"), F.col("text").alias("result")), F.struct(F.lit(None).cast("string").alias("toolName"), F.lit("z").alias("result")))
+    data = _members(
+        type=F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3),
+        text=F.when(turn % 4 == 3, " ").otherwise(F.col("text")),
+        timingInfo=F.struct(F.when(turn > 0, F.lit(1.7e12) - turn * 1000).alias("clientStartTime")),
+        toolResults=F.when(F.col("role") == "assistant", results),
+    )
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.lit("/kv").alias("db_path"), turn.cast("long").alias("pos"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("composer_id"), F.concat(F.lit("b"), turn.cast("string")).alias("bubble_id"), F.parse_json(data).alias("data"))
 
 
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +214,12 @@ paths AS (
 # reports
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """Adds place: the number of each row in the order in which df gives its rows."""
+    rows = df.withColumn("at", F.monotonically_increasing_id())  # goes up along the partitions of an ordered frame
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("at")).cast("long")).drop("at")  # for reports that a person reads
+
+
 @query(f"""WITH {_CALLS},
 c AS (SELECT tool_name, num AS sess_no, count(*) AS cnt FROM calls JOIN sessions ON id = session_id WHERE num <= 20 AND event_type = 'tool_call' GROUP BY ALL)
 SELECT tool_name, sess_no, cnt, CAST(sum(cnt) OVER (PARTITION BY tool_name) AS BIGINT) AS total, false AS is_standard FROM c""")
@@ -106,9 +236,9 @@ def tool_histogram_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.tool_table(call_sessions(e), e, 5)
 
 
-@query(f"WITH {_CALLS} SELECT tool_name, count(*) AS cnt FROM calls WHERE event_type = 'tool_call' GROUP BY tool_name")
+@query(f"WITH {_CALLS}, c AS (SELECT tool_name, count(*) AS cnt FROM calls WHERE event_type = 'tool_call' GROUP BY tool_name) SELECT *, row_number() OVER (ORDER BY cnt DESC, tool_name) AS place FROM c")
 def tool_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.tool_counts(calls(spark, sf_dir))
+    return in_order(reports.tool_counts(calls(spark, sf_dir)))
 
 
 @query(f"WITH {_CALLS} SELECT id, num, 'Claude' AS source, started_at, ended_at, '' AS project_path FROM sessions")
@@ -125,10 +255,11 @@ def session_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_CALLS}, shown AS (
   SELECT event_type, subtype, tool_name, CASE WHEN event_type = 'tool_call' THEN '[tool] ' || tool_name || chr(10) || '  ' || substring(tool_input, 1, 120) || chr(10)
     ELSE '[permission_denied] ' || tool_name || chr(10) END AS rendered
+    , row_number() OVER (ORDER BY timestamp NULLS FIRST, line_no) AS place
   FROM calls WHERE session_id = (SELECT id FROM sessions WHERE num = 2)) SELECT * FROM shown""")
 def session_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = calls(spark, sf_dir).withColumn("content", F.lit(None).cast("string"))
-    return reports.transcript(reports.session_by_number(call_sessions(e), e, 2))
+    return in_order(reports.transcript(reports.session_by_number(call_sessions(e), e, 2)))
 
 
 @query("SELECT (SELECT count(DISTINCT user_id) FROM events) AS sessions, (SELECT count(*) FROM events) AS events")
@@ -137,9 +268,9 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.stats(call_sessions(e), e)
 
 
-@query(f"WITH {_CALLS} SELECT session_id, timestamp, tool_name FROM calls WHERE subtype = 'permission_denied'")
+@query(f"WITH {_CALLS} SELECT session_id, timestamp, tool_name, row_number() OVER (ORDER BY timestamp NULLS FIRST, session_id) AS place FROM calls WHERE subtype = 'permission_denied'")
 def permissions_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.permissions(calls(spark, sf_dir))
+    return in_order(reports.permissions(calls(spark, sf_dir)))
 
 
 _TOOL_ALIAS = "CASE user_id % 5 WHEN 0 THEN 'Task' || event_type WHEN 1 THEN 'mcp_task' WHEN 2 THEN 'mytasks' WHEN 3 THEN 'WebFetch' ELSE event_type END"
@@ -171,42 +302,116 @@ def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # messages
 
 
-@query("""WITH m AS (
-  SELECT role, CASE WHEN turn % 3 = 0 THEN '  /' || text ELSE text END AS text,
-    lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'user' AS follows FROM conversations WHERE role <> 'system')
-SELECT CASE role WHEN 'user' THEN 'user_message' ELSE 'assistant_message' END AS event_type,
-  CASE WHEN role = 'user' THEN CASE WHEN regexp_matches(text, '^\\s*/') THEN 'slash_command' ELSE 'prompt' END
-    WHEN coalesce(follows, false) THEN 'dialog' ELSE 'response' END AS subtype, count(*) AS cnt
-FROM m GROUP BY 1, 2""")
-def event_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "conversations").filter("role <> 'system'")
-    text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("  /"), "text")).otherwise(F.col("text"))
-    follows = F.coalesce(F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn")) == "user", F.lit(False))
-    m = m.withColumns({"said": text, "follows": follows})
-    user = F.col("role") == "user"
-    return m.groupBy(F.when(user, "user_message").otherwise("assistant_message").alias("event_type"), F.when(user, X.user_subtype(F.col("said"))).otherwise(X.assistant_subtype(F.col("follows"), F.lit(""))).alias("subtype")).agg(F.count("*").alias("cnt"))
+@query(f"WITH {_BLOCKS} SELECT * FROM message_events")
+def message_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = N.message_events(message_log(spark, sf_dir))
+    return got.select("session_id", "event_id", "line_no", "block_pos", "event_type", "subtype", "role", "content", "content_len", "tool_name", "tool_input", "tool_output", "timestamp", "file_path", "source_file")
 
 
-@query("""SELECT conv_id, turn, coalesce(max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) > turn, false) AS follows FROM conversations""")
-def turn_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy("conv_id"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(last > F.col("turn"), F.lit(False)).alias("follows"))
+@query(f"WITH {_BLOCKS} SELECT event_type, subtype, count(*) AS cnt FROM message_events GROUP BY ALL")
+def event_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.message_events(message_log(spark, sf_dir)).groupBy("event_type", "subtype").agg(F.count("*").alias("cnt"))
 
 
-@query("""WITH b AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM conversations)
-SELECT conv_id, turn, count(*) AS blocks, string_agg(line, '|' ORDER BY pos) AS joined FROM b GROUP BY conv_id, turn""")
+@query(f"WITH {_BLOCKS} SELECT session_id, line_no, pos, role AS kind, block_type, tool_follows FROM blocks")
 def explode_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    g = b.groupBy("conv_id", "turn").agg(F.count("*").alias("blocks"), F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("xs"))
-    return g.select("conv_id", "turn", "blocks", F.array_join(F.col("xs.line"), "|").alias("joined"))
+    return N.message_blocks(message_log(spark, sf_dir)).select(F.col("session").alias("session_id"), "line_no", "pos", "kind", "block_type", "tool_follows")
+
+
+@query(f"WITH {_BLOCKS} SELECT conv_id, turn, coalesce(bool_or(tool_follows), false) AS follows FROM blocks GROUP BY ALL")
+def turn_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = N.message_blocks(message_log(spark, sf_dir))
+    return b.groupBy(F.substring("session", 2, 20).cast("long").alias("conv_id"), (F.col("line_no") - 1).alias("turn")).agg(F.max("tool_follows").alias("follows"))
 
 
-@query("""WITH calls AS (SELECT user_id, max_by(event_type, event_id) AS call_name FROM events WHERE event_type <> 'error' AND user_id % 7 <> 0 GROUP BY user_id)
-SELECT event_id, call_name FROM events LEFT JOIN calls USING (user_id) WHERE event_type = 'error'""")
+@query(f"WITH {_BLOCKS} SELECT '/logs/s' || conv_id || '.jsonl' AS file_path, 'c' || call_turn AS call_id, call_name FROM called")
 def pair_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    names = e.filter("event_type <> 'error' AND user_id % 7 <> 0").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("call_name"))
-    return e.filter("event_type = 'error'").join(names, "user_id", "left").select("event_id", "call_name")
+    return N.call_names(N.message_blocks(message_log(spark, sf_dir)))
+
+
+@query(f"""WITH {_BLOCKS} SELECT session_id AS id, 'Claude' AS source, 'Code' AS type, coalesce(min(timestamp), 5000) AS started_at, coalesce(max(timestamp), 5000) AS ended_at, '/w' AS project_path
+FROM message_events GROUP BY session_id""")
+def session_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = message_log(spark, sf_dir)
+    files = log.select(F.col("file_path").alias("source_file"), "mtime", F.lit("/w").alias("project_path"), F.lit(None).cast("string").alias("metadata")).distinct()
+    return sessions_of(N.message_events(log), files).select("id", "source", "type", "started_at", "ended_at", "project_path")
+
+
+@query(f"""WITH {_BLOCKS} SELECT session_id, line_no, tool_name, '' AS description, CASE WHEN tool_name = 'Task' THEN 'look ' || (line_no - 1) ELSE '' END AS prompt, '' AS subagent
+FROM message_events WHERE event_type = 'tool_call' AND tool_name ILIKE '%task%'""")
+def task_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = reports.task_invocations(N.message_events(message_log(spark, sf_dir)))
+    return got.select("session_id", F.col("event_id").cast("long").alias("line_no"), "tool_name", "description", "prompt", "subagent")
+
+
+@query(f"""WITH {_BLOCKS}, o AS (SELECT CASE WHEN contains(lower(content), 'timeout') THEN 'timeout' WHEN contains(lower(content), 'not_ready') OR contains(lower(content), 'not ready') THEN 'not_ready'
+    WHEN contains(lower(content), 'success') OR contains(lower(content), 'completed') THEN 'success' ELSE 'unknown' END AS outcome FROM message_events WHERE subtype = 'tool_result' AND tool_name ILIKE '%task%')
+SELECT outcome, count(*) AS cnt FROM o GROUP BY outcome""")
+def task_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.task_outcomes(N.message_events(message_log(spark, sf_dir)))
+
+
+@query("""WITH e AS (SELECT *, '/logs/e' || conv_id || '.jsonl' AS source_file, CASE WHEN conv_id % 7 > 0 THEN 'sess-' || conv_id ELSE 'e' || conv_id END AS session_id,
+    CASE WHEN role = 'system' THEN '{"why":"x' || conv_id || '"}' ELSE text || chr(10) || 'more' END AS said FROM conversations WHERE role <> 'assistant' OR turn % 4 <> 3)
+SELECT session_id, CAST(turn + 2 AS VARCHAR) AS event_id, CASE role WHEN 'user' THEN 'user_message' ELSE 'assistant_message' END AS event_type,
+  CASE role WHEN 'user' THEN CASE WHEN regexp_matches(said, '^\\s*/') THEN 'slash_command' ELSE 'prompt' END WHEN 'system' THEN 'dialog' ELSE 'response' END AS subtype,
+  CASE role WHEN 'user' THEN 'user' ELSE 'assistant' END AS role, CASE WHEN length(said) > 2000 THEN substring(said, 1, 1999) || '…' ELSE said END AS content, length(said) AS content_len,
+  CAST(1700000000000 + turn * 1000 AS DOUBLE) AS timestamp, CASE WHEN role = 'system' THEN '{"event_msg_type":"turn_aborted"}' END AS metadata, source_file FROM e""")
+def envelope_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = envelope_log(spark, sf_dir)
+    got = N.envelope_events(log, H.session_headers(log))
+    return got.select("session_id", "event_id", "event_type", "subtype", "role", "content", "content_len", "timestamp", "metadata", "source_file")
+
+
+@query("SELECT '/logs/e' || conv_id || '.jsonl' AS file_path, CASE WHEN conv_id % 7 > 0 THEN 'sess-' || conv_id END AS id, '/w/p' || conv_id % 5 AS cwd FROM (SELECT DISTINCT conv_id FROM conversations)")
+def session_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.session_headers(envelope_log(spark, sf_dir))
+
+
+@query("""WITH b AS (SELECT *, CASE WHEN turn > 0 THEN 1700000000000.0 - turn * 1000 END AS ts, CASE WHEN turn % 4 = 3 THEN ' ' ELSE text END AS said FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(ts, 0), turn) AS line_no FROM b),
+t AS (SELECT * FROM n WHERE role IN ('user', 'assistant'))
+SELECT 'c' || conv_id AS session_id, 'c' || conv_id || ':b' || turn AS event_id, line_no, 0 AS block_pos, CASE role WHEN 'user' THEN 'user_message' ELSE 'assistant_message' END AS event_type,
+  CASE WHEN role = 'user' THEN CASE WHEN regexp_matches(said, '^\\s*/') THEN 'slash_command' ELSE 'prompt' END WHEN said = ' ' THEN 'dialog' ELSE 'response' END AS subtype,
+  CASE WHEN length(said) > 2000 THEN substring(said, 1, 1999) || '…' ELSE said END AS content, length(said) AS content_len, NULL AS tool_name, CAST(ts AS DOUBLE) AS timestamp FROM t
+UNION ALL SELECT 'c' || conv_id, 'c' || conv_id || ':b' || turn || ':tr' || i, line_no, i + 1, 'user_message', 'tool_result',
+  CASE WHEN i = 1 THEN 'z' WHEN length(text) > 2000 THEN substring(text, 1, 1999) || '…' ELSE text END, CASE WHEN i = 1 THEN 1 ELSE length(text) END, CASE i WHEN 0 THEN 'Read' ELSE 'unknown' END, CAST(ts AS DOUBLE)
+FROM t, range(2) r(i) WHERE role = 'assistant'""")
+def bubble_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = N.bubble_events(bubbles(spark, sf_dir))
+    return got.select("session_id", "event_id", "line_no", "block_pos", "event_type", "subtype", "content", "content_len", "tool_name", "timestamp")
+
+
+def _filled_store(spark: SparkSession, sf_dir: str) -> Store:
+    """A store that the message log is merged into twice: up to the fourth turn, and as a whole."""
+    store = Store(spark, scratch_dir(spark, "store"), buckets=4)
+    log = message_log(spark, sf_dir)
+    files = log.select(F.col("file_path").alias("source_file"), "mtime", F.lit("/w").alias("project_path"), F.lit(None).cast("string").alias("metadata")).distinct()
+    sources = log.groupBy(F.col("file_path").alias("source_key")).agg(F.max("mtime").alias("mtime"), F.max("size").alias("size"))
+    for part in (log.filter("line_no <= 4"), log):
+        events = N.message_events(part)
+        store.merge(events, sessions_of(events, files), sources)
+    return store
+
+
+@query(f"""WITH {_BLOCKS}, last AS (SELECT * FROM message_events QUALIFY row_number() OVER (PARTITION BY {", ".join(c for c in EVENT_KEY if c != "source")} ORDER BY line_no DESC, block_pos DESC) = 1)
+SELECT session_id, event_id, block_pos, event_type, subtype, content_len, tool_name, timestamp FROM last""")
+def store_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled_store(spark, sf_dir).events().select("session_id", "event_id", "block_pos", "event_type", "subtype", "content_len", "tool_name", "timestamp")
+
+
+@query(f"""WITH {_BLOCKS} SELECT 'Claude' AS source, count(DISTINCT session_id) AS sessions, count(DISTINCT (session_id, event_id)) AS events FROM message_events HAVING count(*) > 0""")
+def store_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_counts(_filled_store(spark, sf_dir))
+
+
+@query("SELECT '/logs/s' || conv_id || '.jsonl' AS file_path, CASE WHEN conv_id % 2 = 0 THEN 5.0 ELSE 6.0 END AS mtime FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 2 = 1")
+def store_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all logs those that have changed since they were ingested."""
+    store = _filled_store(spark, sf_dir)
+    logs = message_log(spark, sf_dir).select("file_path", F.substring_index("file_path", "/s", -1).alias("name")).distinct()
+    changed = F.split("name", "[.]")[0].cast("long") % 2 == 1
+    return L.not_ingested(logs.select("file_path", F.when(changed, 6.0).otherwise(5.0).alias("mtime")), store.manifest())
 
 
 # text
@@ -300,11 +505,12 @@ def last_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_of_key(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT d.doc_id, d.n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = d.n_chars % 2)")
+@query("SELECT 'f' || d.doc_id AS file_path, d.n_chars % 2 AS mtime, d.n_chars AS size FROM documents d WHERE n_chars >= 100 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = d.n_chars % 2)")
 def incremental_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "documents").withColumn("mark", (F.col("n_chars") % 2).cast("int"))
-    state = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("mark"))
-    return files.join(state, ["doc_id", "mark"], "left_anti").select("doc_id", "n_chars")
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"))
+    files = table(spark, sf_dir, "documents").select(name.alias("file_path"), (F.col("n_chars") % 2).cast("double").alias("mtime"), F.col("n_chars").alias("size"))
+    manifest = table(spark, sf_dir, "labels").select(name.alias("source_key"), F.col("quality").cast("double").alias("mtime"))
+    return L.not_ingested(L.large_enough(files, 100), manifest)
 
 
 def _scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,8 +522,6 @@ def _scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registry that knows the sources whose name ends in an odd digit."""
     paths = table(spark, sf_dir, "documents").select(F.concat(F.lit("/"), "source").alias("path")).distinct().filter(F.col("path").rlike("[13579]$"))
-    from .schema import REGISTRY_SCHEMA
-
     base = paths.select("path", *(F.lit(None).cast(f.dataType).alias(f.name) for f in REGISTRY_SCHEMA.fields[1:]))
     return base.withColumn("last_query", F.lit("2024-01-01"))
 
@@ -371,36 +575,45 @@ def excluded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT '/w/' || source AS path, string_agg(v, '|' ORDER BY v) AS vendor FROM (
-  SELECT DISTINCT source, CASE lang WHEN 'en' THEN 'CC' WHEN 'de' THEN 'Codex' ELSE 'Cursor' END AS v FROM documents WHERE lang <> 'es' AND doc_id % 3 = 0) GROUP BY source""")
+  SELECT DISTINCT source, CASE lang WHEN 'en' THEN 'CC' WHEN 'de' THEN 'Codex' ELSE 'Cursor' END AS v FROM documents) GROUP BY source""")
 def vendor_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("lang <> 'es' AND doc_id % 3 = 0")
-    parts = [d.filter(F.col("lang") == lang).select(F.concat(F.lit("/w/"), "source").alias("path"), F.lit(v).alias("vendor")) for lang, v in (("en", "CC"), ("de", "Codex"), ("fr", "Cursor"))]
+    d = table(spark, sf_dir, "documents")
+    lang = F.col("lang")
+    parts = [d.filter(own).select(F.concat(F.lit("/w/"), "source").alias("path"), F.lit(v).alias("vendor")) for own, v in ((lang == "en", "CC"), (lang == "de", "Codex"), (~lang.isin("en", "de"), "Cursor"))]
     return D.canonical(parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct(), "/w").select("path", "vendor")
 
 
-@query("""WITH e AS (SELECT user_id % 40 AS p, epoch_us(ts) / 1000.0 AS ms, user_id, event_id FROM events WHERE event_id % 3 <> 0),
-a AS (SELECT p, count(*) AS sess, sum(event_id % 10) AS ev, sum(event_id) AS bytes, min(ms) AS lo, max(ms) AS hi FROM e WHERE p % 2 = 0 GROUP BY p),
-k AS (SELECT p, sum(s) AS sess, sum(size) AS bytes FROM (SELECT p, user_id, count(DISTINCT event_id % 5) AS s, max(event_id) AS size FROM e WHERE p % 3 = 0 GROUP BY p, user_id) GROUP BY p)
-SELECT 'p' || p AS path, '/w/p' || p AS dir_path, CASE WHEN p % 6 = 0 THEN 'CC|Cursor' WHEN p % 2 = 0 THEN 'CC' ELSE 'Cursor' END AS vendor,
-  CAST(coalesce(a.sess, 0) + coalesce(k.sess, 0) AS BIGINT) AS sess, coalesce(round(a.bytes / 1048576, 2), 0) + coalesce(round(k.bytes / 1048576, 2), 0) AS mb,
-  CASE WHEN hi > lo THEN round((hi - lo) / 604800000, 1) END AS span_weeks
-FROM a FULL JOIN k USING (p)""")
+_NOW, _DAYS = 1706659200000, 20  # the last of the events' days, and a window that cuts the first ones off
+
+
+@query(f"""WITH e AS (SELECT user_id % 40 AS p, epoch_us(ts) / 1000.0 AS ms, user_id, event_id, event_type, CASE event_type WHEN 'view' THEN 'k' WHEN 'click' THEN 'b' ELSE 'a' END AS v FROM events),
+recent AS (SELECT * FROM e WHERE ms >= {_NOW} - {_DAYS} * 86400000.0),
+a AS (SELECT p, count(*) AS n, sum(event_id) AS bytes, min(ms) AS lo, max(ms) AS hi FROM recent WHERE v = 'a' AND event_type <> 'error' GROUP BY p),
+b AS (SELECT p, count(*) AS n, sum(event_id) AS bytes, min(ms) AS lo, max(ms) AS hi FROM recent WHERE v = 'b' GROUP BY p),
+k AS (SELECT p, sum(s) AS n, sum(size) AS bytes FROM (SELECT p, user_id, count(DISTINCT event_id % 5) AS s, max(event_id) AS size FROM e WHERE v = 'k' GROUP BY p, user_id) GROUP BY p),
+found AS (SELECT p, string_agg(DISTINCT CASE v WHEN 'a' THEN 'CC' WHEN 'b' THEN 'Codex' ELSE 'Cursor' END, '|' ORDER BY CASE v WHEN 'a' THEN 'CC' WHEN 'b' THEN 'Codex' ELSE 'Cursor' END) AS vendor, bool_or(v = 'k') AS kv FROM e GROUP BY p)
+SELECT 'p' || p AS path, '/w/p' || p AS dir_path, vendor, CAST(coalesce(a.n, 0) + coalesce(b.n, 0) + coalesce(k.n, 0) AS BIGINT) AS sess,
+  coalesce(round(a.bytes / 1048576, 2), 0) + coalesce(round(b.bytes / 1048576, 2), 0) + coalesce(round(k.bytes / 1048576, 2), 0) AS mb,
+  coalesce(nullif(CASE WHEN a.hi > a.lo THEN round((a.hi - a.lo) / 604800000, 1) END, 0), CASE WHEN b.hi > b.lo THEN round((b.hi - b.lo) / 604800000, 1) END) AS span_weeks
+FROM found LEFT JOIN a USING (p) LEFT JOIN b USING (p) LEFT JOIN k USING (p) WHERE kv OR a.p IS NOT NULL OR b.p IS NOT NULL""")
 def project_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("p"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000.0)).alias("ms"), "user_id", "event_id")
-    path = F.concat(F.lit("/w/p"), F.col("p").cast("string"))
-    entries = e.filter("p % 2 = 0").select(path.alias("projectPath"), F.col("ms").alias("fileMtime"), (F.col("event_id") % 10).alias("messageCount"), (F.col("event_id") % 3 == 0).alias("isSidechain"), F.col("event_id").cast("string").alias("fullPath"))
-    sizes = e.select(F.col("event_id").cast("string").alias("file_path"), F.col("event_id").alias("size"))
-    a = D.index_metrics(entries, sizes)
-    kv = e.filter("p % 3 = 0 AND event_id % 3 <> 0").groupBy(path.alias("project"), "user_id").agg(F.countDistinct(F.col("event_id") % 5).alias("sessions"), F.count("*").alias("events"), F.max("event_id").alias("size"))
-    b = a.filter("false")
-    found = e.filter("event_id % 3 <> 0 AND (p % 2 = 0 OR p % 3 = 0)").select(path.alias("path"), F.explode(F.array_compact(F.array(F.when(F.col("p") % 2 == 0, "CC"), F.when(F.col("p") % 3 == 0, "Cursor")))).alias("vendor")).distinct()
-    return D.project_metrics(D.canonical(found, "/w"), a, b, D.store_metrics(kv), "/w")
-
-
-@query("SELECT CAST(sum(n) AS BIGINT) AS sessions, count(*) AS stores FROM (SELECT role, count(DISTINCT conv_id) AS n FROM conversations GROUP BY role)")
+    """Every event is a session: views are those of a store, clicks of envelope logs, all others of an index, errors being sidechains."""
+    kind = F.when(F.col("event_type") == "view", "Cursor").when(F.col("event_type") == "click", "Codex").otherwise("CC")
+    path = F.concat(F.lit("/w/p"), (F.col("user_id") % 40).cast("string"))
+    e = table(spark, sf_dir, "events").select(path.alias("project"), kind.alias("vendor"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000.0)).alias("ms"), "user_id", "event_id", "event_type", F.col("event_id").cast("string").alias("file_path"))
+    entries = e.filter("vendor = 'CC'").select(F.col("project").alias("projectPath"), F.col("ms").alias("fileMtime"), (F.col("event_id") % 10).alias("messageCount"), (F.col("event_type") == "error").alias("isSidechain"), F.col("file_path").alias("fullPath"))
+    a = D.index_metrics(entries, e.select("file_path", F.col("event_id").alias("size")), _DAYS, _NOW)
+    logs = e.filter("vendor = 'Codex'").select("file_path", F.col("event_id").alias("size"), F.col("project").alias("cwd"), F.col("ms").alias("ts"))
+    b = D.header_metrics(logs, logs.select("file_path", F.lit(3).alias("events")), _DAYS, _NOW)
+    kv = e.filter("vendor = 'Cursor'").groupBy("project", "user_id").agg(F.countDistinct(F.col("event_id") % 5).alias("sessions"), F.count("*").alias("events"), F.max("event_id").alias("size"))
+    found = e.select(F.col("project").alias("path"), "vendor").distinct()
+    return D.project_metrics(D.canonical(found, "/w"), a, b, D.store_metrics(kv), "/w", _DAYS, _NOW)
+
+
+@query("SELECT role AS project, CAST(sum(n) AS BIGINT) AS sess, CAST(sum(events) AS BIGINT) AS events, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT role, conv_id % 3 AS store, count(DISTINCT conv_id) AS n, count(*) AS events, max(length(text)) AS size FROM conversations GROUP BY ALL) GROUP BY role")
 def distinct_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = table(spark, sf_dir, "conversations").groupBy("role").agg(F.countDistinct("conv_id").alias("n"))
-    return per.agg(F.sum("n").alias("sessions"), F.count("*").alias("stores"))
+    per = table(spark, sf_dir, "conversations").groupBy(F.col("role").alias("project"), (F.col("conv_id") % 3).alias("store")).agg(F.countDistinct("conv_id").alias("sessions"), F.count("*").alias("events"), F.max(F.length("text")).alias("size"))
+    return D.store_metrics(per).select("project", "sess", F.col("events").cast("long").alias("events"), F.col("bytes").cast("long").alias("bytes"))
 
 
 @query("SELECT full_path, sess FROM (SELECT '/' || source || '/' || lang AS full_path, count(*) AS sess, round(sum(n_chars) / 1048576, 2) AS mb FROM documents GROUP BY source, lang) WHERE sess >= 12 OR mb >= 0.05")
@@ -409,9 +622,9 @@ def worthy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.worthy(rows, 12, 0.05).select("full_path", "sess")
 
 
-@query("SELECT path, min(root_no) AS root_no FROM (SELECT CAST(user_id AS VARCHAR) AS path, CAST(event_id % 4 AS INTEGER) AS root_no FROM events WHERE event_id % 5 <> user_id % 5) GROUP BY path")
+@query("SELECT CAST(user_id AS VARCHAR) AS path, CAST(min((event_id + user_id * 3) % 97) AS INTEGER) AS root_no FROM events GROUP BY user_id")
 def first_root_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").filter("event_id % 5 <> user_id % 5").select(F.col("user_id").cast("string").alias("full_path"), (F.col("event_id") % 4).cast("int").alias("root_no")).distinct()
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("full_path"), ((F.col("event_id") + F.col("user_id") * 3) % 97).cast("int").alias("root_no")).distinct()
     return D.first_of_path(rows).select(F.col("full_path").alias("path"), "root_no")
 
 
