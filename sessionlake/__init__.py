@@ -1 +1,3 @@
 """Session-record analytics and training-data operators on Spark DataFrames."""
+
+__version__ = "0.2.0"

@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
 from .functions.paths import path_slug
 from .operators import registry as R
 from .operators.merge import Store
@@ -23,6 +24,8 @@ from .sources.headers import root_list
 STORE_DIR = ".sessionlake"
 VENDOR_OF = {"cc": "CC", "codex": "Codex", "cursor": "Cursor"}
 YES = ("1", "true", "yes")
+#: Sessions that a tool table has columns for.
+WIDEST = 200
 
 
 def env_flag(env: Mapping[str, str], name: str) -> bool:
@@ -36,7 +39,8 @@ def env_int(env: Mapping[str, str], name: str, default: int) -> int:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sessionlake", description="Session records: scan finds projects, ingest loads logs, query reports.")
     p.add_argument("command", nargs="?", choices=("scan", "ingest", "query"))
-    p.add_argument("-v", "--verbose", action="store_true")
+    p.add_argument("-v", "--verbose", action="store_true", help="ingest: a line for each source")
+    p.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
     p.add_argument("--dirs", help="file with one root on each line")
     p.add_argument("--dir", action="append", default=[], help="a root; may be given again")
     p.add_argument("--source", default="all", help="scan: cc,codex,cursor; ingest: one of them, or all")
@@ -80,7 +84,11 @@ def git_root(folder: str) -> str:
 
 
 def roots(args: argparse.Namespace) -> list[str]:
-    found, _ = root_list(args.dirs, args.dir)
+    found, rejected = root_list(args.dirs, args.dir)
+    for r in rejected:
+        print(f"skipped, not allowed as a root: {r}", file=sys.stderr)
+    if rejected and not found:
+        raise ValueError("no root is left")
     return found or [os.getcwd() if args.command == "scan" else git_root(os.getcwd())]
 
 
@@ -121,7 +129,7 @@ def run_scan(spark: SparkSession, args: argparse.Namespace, env: Mapping[str, st
         return 1
     days = None if args.debug else args.days if args.days is not None else env_int(env, "DAYS", RECENT_DAYS)
     opts = S.ScanOptions([VENDOR_OF[x] for x in wanted], days, args.subagent or env_flag(env, "SUBAGENT"))
-    rows = S.merge_roots([(r, S.scan(spark, r, places(env), opts)) for r in roots(args)]).persist()
+    rows = S.merge_roots([(r, S.scan(spark, r, places(env), opts)) for r in args.roots]).persist()
     folder = registry_dir(args, env)
     shown, columns = rows, S.SCAN_COLUMNS if not args.debug else ["path", "dir_path", *S.SCAN_COLUMNS[1:]]
     try:
@@ -153,9 +161,13 @@ def run_ingest(spark: SparkSession, args: argparse.Namespace, env: Mapping[str,
         keep_raw=args.debug or env_flag(env, "DEBUG"),
         force=args.force or env_flag(env, "FORCE"),
         min_size=args.min_size if args.min_size is not None else env_int(env, "MIN_SIZE", MIN_SIZE),
+        block_identity=env_flag(env, "BLOCK_IDENTITY"),
+        read_text_times=env_flag(env, "READ_TEXT_TIMES"),
+        with_assistant=env_flag(env, "WITH_ASSISTANT"),
+        stop=args.stop or env_flag(env, "STOP"),
     )
     failed, total = 0, I.NOTHING
-    for project in roots(args):
+    for project in args.roots:
         store = Store(spark, os.path.join(project, STORE_DIR))
         store.create()
         messages = os.path.join(at.message_logs or "", _folder_of(spark, project))
@@ -168,11 +180,17 @@ def run_ingest(spark: SparkSession, args: argparse.Namespace, env: Mapping[str,
             "codex": [lambda: I.ingest_envelopes(store, at.envelope_logs or "", project, opts)],
             "cursor": [lambda: I.ingest_stores(store, databases, project, opts), lambda: I.ingest_stores(store, [at.global_store] if at.global_store else [], None, opts)],
         }
-        for step in (s for name in on for s in steps[name]):
+        for name, step in ((name, s) for name in on for s in steps[name]):
             try:
-                total = total + step()
+                done = step()
+                total = total + done
+                if args.verbose:
+                    print(f"{project}: {name}: {done.sources} sources, {done.sessions} sessions, {done.emitted} events")
+                for path, why in done.failed:
+                    print(f"{path}: {why}", file=sys.stderr)
+                failed += len(done.failed)
             except Exception as e:
-                if args.stop or env_flag(env, "STOP"):
+                if opts.stop:
                     raise
                 print(f"{project}: {e}", file=sys.stderr)
                 failed += 1
@@ -196,7 +214,7 @@ def _workspace_stores(spark: SparkSession, at: S.Places, project: str) -> list:
 
 
 def run_query(spark: SparkSession, args: argparse.Namespace, env: Mapping[str, str]) -> int:
-    project = roots(args)[0]
+    project = args.roots[0]
     store = Store(spark, os.path.join(project, STORE_DIR))
     if not store.exists():
         print(f"no store below {project}", file=sys.stderr)
@@ -213,7 +231,9 @@ def run_query(spark: SparkSession, args: argparse.Namespace, env: Mapping[str, s
             print("\n".join([kind, *(f"  {s}" for s in subs)]))
     elif args.tool is not None:
         n = min(args.tool, sessions.count()) if args.tool > 0 else sessions.count()
-        if n:
+        if n > WIDEST:  # a line for each tool and session instead of a column for each session
+            print_rows(reports.tool_histogram(sessions, events, args.tool or None).drop("is_standard"))
+        elif n:
             rows = reports.tool_table(sessions, events, n).collect()  # a row for each tool
             width = max((len(r["tool_name"]) for r in rows), default=10)
             print("  ".join(["", "Sess", *map(str, range(1, n + 1)), "Total"]))
@@ -250,7 +270,7 @@ def main(argv: list[str] | None = None, env: Mapping[str, str] | None = None, sp
         parser().print_usage(sys.stderr)
         return 2
     try:
-        roots(args)
+        args.roots = roots(args)
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1

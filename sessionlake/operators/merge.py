@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import EVENT_KEY, EVENT_SCHEMA, MANIFEST_SCHEMA, SESSION_KEY, SESSION_SCHEMA, TYPE_OF
+from ..sources.commit import filesystem, publish
 
-#: Buckets of a table, and files that one bucket's rows go to.
-BUCKETS, FILES_A_BUCKET = 64, 4
+#: Buckets of a new table, files that one bucket's rows go to, and rows that a bucket should have at most: a table that outgrows its buckets gets more.
+BUCKETS, FILES_A_BUCKET, ROWS_A_BUCKET = 64, 4, 4_000_000
 
 
 def last_of_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -58,16 +59,15 @@ def sessions_of(events: DataFrame, files: DataFrame) -> DataFrame:
 
 
 class TableVersions:
-    """A Parquet table in buckets (column bucket_by; None: one bucket), with numbered states; how many is settled when it is made."""
+    """A Parquet table in buckets (column bucket_by; None: one bucket), with numbered states; a merge that brings too many rows doubles the buckets as often as it takes."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, bucket_by: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.path, self.schema, self.bucket_by = spark, path, schema, bucket_by
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, bucket_by: str | None = None, buckets: int = BUCKETS, rows_a_bucket: int = ROWS_A_BUCKET):
+        self.spark, self.path, self.schema, self.bucket_by, self.rows_a_bucket = spark, path, schema, bucket_by, rows_a_bucket
         state = self.state()
         self.buckets = state["of"] if state else buckets if bucket_by else 1
 
     def _fs(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+        return filesystem(self.spark, path)
 
     def _numbers(self) -> list[int]:
         fs, at = self._fs(f"{self.path}/_state")
@@ -77,7 +77,7 @@ class TableVersions:
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
     def state(self) -> dict | None:
-        """{"n": number, "of": how many buckets, "buckets": {bucket: folder}, "replaced": [folders]}; None before the first commit."""
+        """{"n": number, "of": how many buckets, "rows": at most so many, "buckets": {bucket: folder}, "replaced": [folders]}; None before the first commit."""
         numbers = self._numbers()
         if not numbers:
             return None
@@ -88,20 +88,15 @@ class TableVersions:
         finally:
             stream.close()
 
-    def _commit(self, old: dict | None, folders: dict[str, str]) -> None:
+    def _commit(self, old: dict | None, folders: dict[str, str], rows: int = 0, whole: bool = False) -> None:
+        """whole: the folders are all there is, else they take the place of the same buckets' folders."""
         before = old["buckets"] if old else {}
         n = old["n"] + 1 if old else 1
-        new = {"n": n, "of": self.buckets, "buckets": before | folders, "replaced": sorted(before[b] for b in folders if b in before)}
-        fs, beside = self._fs(f"{self.path}/_state/.{uuid.uuid4().hex}.tmp")
-        stream = fs.create(beside, False)
-        try:
-            stream.write(bytearray(json.dumps(new).encode()))
-        finally:
-            stream.close()
-        _, at = self._fs(f"{self.path}/_state/v{n:08d}.json")
-        if fs.exists(at) or not fs.rename(beside, at):
-            fs.delete(beside, False)
+        kept = {} if whole else {b: f for b, f in before.items() if b not in folders}
+        new = {"n": n, "of": self.buckets, "rows": rows, "buckets": kept | folders, "replaced": sorted(set(before.values()) - set(kept.values()))}
+        if not publish(self.spark, at := f"{self.path}/_state/v{n:08d}.json", json.dumps(new)):
             raise OSError(f"another writer has committed {at}")
+        fs, _ = self._fs(self.path)
         for folder in old["replaced"] if old else []:
             fs.delete(self._fs(f"{self.path}/{folder}")[1], True)
         for number in self._numbers()[:-2]:
@@ -120,17 +115,25 @@ class TableVersions:
 
     def merge(self, new: DataFrame, key: list[str], order: list[str], sort_by: list[str]) -> None:
         """Upsert: of the new rows the last of each key in the order given, in place of an old row with that key."""
+        rows, state = new.select(*self.schema.names), self.state()
+        total = (state or {}).get("rows", 0) + rows.count()
+        more = self.buckets
+        while self.bucket_by and total > more * self.rows_a_bucket:
+            more *= 2
+        whole = more > self.buckets and bool(state and state["buckets"])
+        self.buckets = more
         own = F.pmod(F.xxhash64(self.bucket_by), F.lit(self.buckets)).cast("int") if self.bucket_by else F.lit(0)
-        rows = new.select(*self.schema.names)
         touched = sorted(r[0] for r in rows.select(own).distinct().collect())  # as many as there are buckets, at most
         if not touched:
             return self.create()
-        merged = merge_rows(self.read(touched), rows, key, order).withColumn("__bucket", own)
+        merged = merge_rows(self.read(None if whole else touched), rows, key, order).withColumn("__bucket", own)
         # a bucket goes to a few files, so that one long session doesn't make one long task
         dealt = merged.repartition("__bucket", F.pmod(F.xxhash64(*key), F.lit(FILES_A_BUCKET))).sortWithinPartitions("__bucket", *sort_by)
         version = f"v-{uuid.uuid4().hex}"
         dealt.write.partitionBy("__bucket").parquet(f"{self.path}/{version}")
-        self._commit(self.state(), {str(b): f"{version}/__bucket={b}" for b in touched})
+        fs, at = self._fs(f"{self.path}/{version}")
+        made = {s.getPath().getName().partition("=")[2] for s in fs.listStatus(at) if "=" in s.getPath().getName()}
+        self._commit(state, {b: f"{version}/__bucket={b}" for b in sorted(made, key=int)}, total, whole)
 
 
 class Store:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,19 +27,22 @@ class Options:
     block_identity: bool = False
     read_text_times: bool = False
     with_assistant: bool = False
+    #: Let the first file that fails end the ingest; else the others go on without it.
+    stop: bool = False
 
 
 @dataclass(frozen=True)
 class Summary:
-    """Sources read, sessions and events in them, and lines that held no JSON object."""
+    """Sources read, sessions and events in them, lines that held no JSON object, and files left out because they failed, with the reason."""
 
     sources: int
     sessions: int
     emitted: int
     rejected: int = 0
+    failed: tuple[tuple[str, str], ...] = ()
 
     def __add__(self, other: Summary) -> Summary:
-        return Summary(self.sources + other.sources, self.sessions + other.sessions, self.emitted + other.emitted, self.rejected + other.rejected)
+        return Summary(self.sources + other.sources, self.sessions + other.sessions, self.emitted + other.emitted, self.rejected + other.rejected, self.failed + other.failed)
 
 
 NOTHING = Summary(0, 0, 0)
@@ -66,6 +70,19 @@ def _new_files(spark: SparkSession, store: Store, folder: str, recursive: bool,
     return not_ingested(large_enough(listing(spark, folder, recursive), opts.min_size), store.manifest(), opts.force)
 
 
+def _isolated(paths: list[str], load: Callable[[list[str]], Summary], stop: bool) -> Summary:
+    """load(paths); where that fails, of either half, until only the files that fail by themselves are left out."""
+    try:
+        return load(paths)
+    except Exception as e:
+        if stop:
+            raise
+        if len(paths) == 1:
+            return Summary(0, 0, 0, 0, ((paths[0], str(e).partition("\n")[0]),))
+    half = len(paths) // 2
+    return _isolated(paths[:half], load, stop) + _isolated(paths[half:], load, stop)
+
+
 def ingest_messages(store: Store, folder: str, project: str, opts: Options = Options()) -> Summary:
     """Message logs at the top of a folder (content blocks)."""
     spark = store.spark
@@ -74,11 +91,17 @@ def ingest_messages(store: Store, folder: str, project: str, opts: Options = Opt
         paths = _paths(files)
         if not paths:
             return NOTHING
-        lines = numbered_lines(spark, paths)
-        events = message_events(records(lines), opts.hide_secrets, opts.keep_raw, opts.block_identity)
-        about = files.select(F.col("file_path").alias("source_file"), "mtime", F.lit(project).alias("project_path"), F.lit(None).cast("string").alias("metadata"))
-        bad = rejected(lines).agg(F.coalesce(F.sum("rejected"), F.lit(0))).first()[0]
-        return _load(store, events, about, files.select(F.col("file_path").alias("source_key"), "mtime", "size"), len(paths), bad)
+
+        def load(paths: list[str]) -> Summary:
+            own = files.filter(F.col("file_path").isin(paths)) if len(paths) < total else files
+            lines = numbered_lines(spark, paths)
+            events = message_events(records(lines), opts.hide_secrets, opts.keep_raw, opts.block_identity)
+            about = own.select(F.col("file_path").alias("source_file"), "mtime", F.lit(project).alias("project_path"), F.lit(None).cast("string").alias("metadata"))
+            bad = rejected(lines).agg(F.coalesce(F.sum("rejected"), F.lit(0))).first()[0]
+            return _load(store, events, about, own.select(F.col("file_path").alias("source_key"), "mtime", "size"), len(paths), bad)
+
+        total = len(paths)
+        return _isolated(paths, load, opts.stop)
     finally:
         files.unpersist()
 
@@ -91,12 +114,19 @@ def ingest_envelopes(store: Store, folder: str, project: str, opts: Options = Op
         paths = _paths(files)
         if not paths:
             return NOTHING
-        recs = records(numbered_lines(spark, paths))
-        headers = session_headers(recs).filter(is_below(F.col("cwd"), project)).persist()
-        own = files.join(headers.select("file_path", "cwd"), "file_path")
-        events = envelope_events(recs.join(headers.select("file_path"), "file_path", "left_semi"), headers, opts.hide_secrets, opts.keep_raw, opts.read_text_times, opts.with_assistant)
-        about = own.select(F.col("file_path").alias("source_file"), "mtime", F.when(F.col("cwd") == ".", project).otherwise(F.col("cwd")).alias("project_path"), F.lit(None).cast("string").alias("metadata"))
-        return _load(store, events, about, own.select(F.col("file_path").alias("source_key"), "mtime", "size"), own.count())
+
+        def load(paths: list[str]) -> Summary:
+            recs = records(numbered_lines(spark, paths))
+            headers = session_headers(recs).filter(is_below(F.col("cwd"), project)).persist()
+            try:
+                own = files.join(headers.select("file_path", "cwd"), "file_path")
+                events = envelope_events(recs.join(headers.select("file_path"), "file_path", "left_semi"), headers, opts.hide_secrets, opts.keep_raw, opts.read_text_times, opts.with_assistant)
+                about = own.select(F.col("file_path").alias("source_file"), "mtime", F.when(F.col("cwd") == ".", project).otherwise(F.col("cwd")).alias("project_path"), F.lit(None).cast("string").alias("metadata"))
+                return _load(store, events, about, own.select(F.col("file_path").alias("source_key"), "mtime", "size"), own.count())
+            finally:
+                headers.unpersist()
+
+        return _isolated(paths, load, opts.stop)
     finally:
         files.unpersist()
 

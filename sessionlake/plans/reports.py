@@ -74,9 +74,13 @@ def tool_counts(events: DataFrame) -> DataFrame:
     return tool_calls(events).groupBy("tool_name").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "tool_name")
 
 
+#: A session with a number up to this is found by a top-n; others by numbering all sessions.
+MOST_SORTED = 10_000
+
+
 def session_by_number(sessions: DataFrame, events: DataFrame, num: int) -> DataFrame:
     """Events of the session with this number, in order; none if there is no such session."""
-    picked = numbered_sessions(sessions, num).filter(F.col("num") == num).select(F.col("id").alias("session_id"))
+    picked = numbered_sessions(sessions, num if num <= MOST_SORTED else None).filter(F.col("num") == num).select(F.col("id").alias("session_id"))
     return events.join(F.broadcast(picked), "session_id").orderBy(F.asc_nulls_first("timestamp"), "line_no", "block_pos")  # picked: one row
 
 

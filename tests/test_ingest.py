@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlake import cli
-from sessionlake.operators.merge import Store
+from sessionlake.operators.merge import Store, TableVersions
 from sessionlake.operators.normalize import envelope_events, message_events
 from sessionlake.plans import ingest as I
 from sessionlake.plans import reports
 from sessionlake.sources import kv
+from sessionlake.sources.commit import publish
 from sessionlake.sources.headers import session_headers
 from sessionlake.sources.lines import numbered_lines, records, rejected
 
@@ -241,3 +242,43 @@ def test_kv_sources_are_isolated(spark, tmp_path):
     assert {r["metadata"] for r in store.sessions().collect()} == {'{"storage": "global"}'}
     assert reports.tool_histogram(store.sessions(), store.events()).count() == 0
     assert store.sessions().filter(F.col("project_path").isNotNull()).count() == 0
+
+
+def test_only_failing_files_are_left_out():
+    def load(paths):
+        if "bad" in paths or "worse" in paths:
+            raise ValueError(f"{len(paths)} files\nmore")
+        return I.Summary(len(paths), 1, 2)
+
+    got = I._isolated(["a", "bad", "b", "c", "worse"], load, False)
+    assert got.sources == 3 and dict(got.failed) == {"bad": "1 files", "worse": "1 files"}
+    with pytest.raises(ValueError):
+        I._isolated(["a", "bad"], load, True)
+
+
+def test_a_version_is_made_once(spark, tmp_path):
+    at = str(tmp_path / "v1.json")
+    assert publish(spark, at, "first") and not publish(spark, at, "second")
+    assert open(at).read() == "first" and not [p for p in tmp_path.iterdir() if p.name.endswith(".tmp")]
+
+
+def test_a_table_gets_more_buckets(spark, tmp_path):
+    schema = "id string, n long"
+    t = TableVersions(spark, str(tmp_path / "t"), spark.createDataFrame([], schema).schema, "id", buckets=2, rows_a_bucket=10)
+    rows = [(f"k{i}", i) for i in range(18)]
+    t.merge(spark.createDataFrame(rows, schema), ["id"], ["n"], ["id"])
+    assert t.buckets == 2
+    more = [(f"k{i}", 100 + i) for i in range(12, 60)]
+    t.merge(spark.createDataFrame(more, schema), ["id"], ["n"], ["id"])
+    again = TableVersions(spark, str(tmp_path / "t"), t.schema, "id")
+    assert again.buckets == 8 and {tuple(r) for r in again.read().collect()} == {*rows[:12], *more}
+    again.merge(spark.createDataFrame([("k1", 7)], schema), ["id"], ["n"], ["id"])
+    assert again.read().count() == 60 and again.read().filter("id = 'k1'").first()["n"] == 7
+
+
+def test_roots_that_are_not_allowed_are_named(capsys, tmp_path):
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
+    assert "sessionlake" in capsys.readouterr().out
+    assert cli.main(["query", "--dir", "../x", "--stats"], {}) == 1
+    assert "../x" in capsys.readouterr().err
