@@ -26,16 +26,11 @@ def slug_path(slug: Column) -> Column:
 
 
 def path_of_slug(slug: str, exists=os.path.exists) -> str:
-    """As slug_path; where that path does not exist, the one whose last two names are one with a hyphen, if it does."""
-    if not slug:
-        return "."
-    path = "/" + slug[1:].replace("-", "/") if slug.startswith("-") else slug.replace("-", "/")
-    parts = path.split("/")
-    if not exists(path) and len([p for p in parts if p]) + path.startswith("/") >= 3:
-        joined = "/".join([*parts[:-2], f"{parts[-2]}-{parts[-1]}"])
-        if exists(joined):
-            return joined
-    return path
+    """What a slug may stand for, the first that exists: each hyphen a folder boundary, or the last one a hyphen; else the former."""
+    plain = slug.replace("-", "/") or "."
+    above, _, last = plain.rpartition("/")
+    candidates = [plain, f"{above}-{last}"] if "/" in above else [plain]
+    return next(filter(exists, candidates), plain)
 
 
 def relative(path: Column, root: str) -> Column:
