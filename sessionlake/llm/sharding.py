@@ -25,11 +25,11 @@ import time
 import uuid
 from dataclasses import asdict, dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.commit import publish
 from .common import discard, filesystem, fresh, scratch
 
 TARGET_BYTES = 64 << 20
@@ -83,34 +83,11 @@ class ShardStore:
 
     def commit(self, version: int, runs: list[Run]) -> int:
         """Make `runs` the version after `version`."""
-        fs, at = filesystem(self.spark, f"{self.path}/manifest/v{version + 1:08d}.json")
-        _, beside = filesystem(self.spark, f"{self.path}/manifest/.{uuid.uuid4().hex}.tmp")
-        stream = fs.create(beside, False)
-        try:
-            stream.write(bytearray(json.dumps({"version": version + 1, "runs": [asdict(r) for r in runs]}, indent=1).encode()))
-        finally:
-            stream.close()
-        try:
-            if not self._named(fs, beside, at):
-                raise VersionTaken(str(at))
-        finally:
-            fs.delete(beside, False)
+        at = f"{self.path}/manifest/v{version + 1:08d}.json"
+        if not publish(self.spark, at, json.dumps({"version": version + 1, "runs": [asdict(r) for r in runs]}, indent=1)):
+            raise VersionTaken(at)
         return version + 1
 
-    def _named(self, fs, beside, at) -> bool:
-        """Give the file `beside` the name `at`; False if that is taken."""
-        if fs.getUri().getScheme() != "file":
-            return not fs.exists(at) and fs.rename(beside, at)
-        nio = self.spark._jvm.java.nio.file
-        place = lambda p: nio.Paths.get(fs.makeQualified(p).toUri())
-        try:
-            nio.Files.createLink(place(at), place(beside))
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" not in str(e.java_exception):
-                raise
-            return False
-        return True
-
     def _add(self, run: Run, tries: int = 20) -> int:
         """Commit the present runs and `run`, after whatever others commit meanwhile."""
         for left in reversed(range(tries)):

@@ -440,6 +440,24 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in urlfilter.judge(pages, urlfilter.entries(spark, [], []), default="block").collect()} == {"block"}
 
 
+def test_url_filter_with_a_long_list(spark):
+    """Thousands of listed URLs, with paths and in several parts, one of them met by half of all pages."""
+    rng = random.Random(29)
+    listed = sorted({f"h{rng.randrange(900)}.example.net" + rng.choice(["", "/a", f"/p{rng.randrange(50)}/"]) for _ in range(4000)} | {"hot.example.net"})
+    pages = [(i, f"http://{rng.choice(['', 'www.'])}{rng.choice(['hot', f'h{rng.randrange(1200)}'])}.example.net{rng.choice(['', '/', '/a/b', f'/p{rng.randrange(60)}/x'])}") for i in range(1500)]
+
+    def blocked(url):
+        host, _, path = url.removeprefix("http://").partition("/")
+        labels, path = host.split("."), "/" + path if _ else ""
+        known = set(listed)
+        return any(".".join(labels[k:]) + path[:n] in known for k in range(len(labels)) for n in range(len(path) + 1))
+
+    table = spark.createDataFrame(pages, "page_id long, url string")
+    for mb in (64, 2e-3):
+        got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(table, urlfilter.entries(spark, [], listed), filter_mb=mb).collect()}
+        assert got == {i: "block" if blocked(u) else "allow" for i, u in pages}
+
+
 def test_blocked_bloom():
     rng = np.random.default_rng(1)
     own, other = (rng.integers(-(2**63), 2**63, n) for n in (5000, 50_000))
@@ -466,6 +484,45 @@ def test_shard_store(spark, tmp_path):
     with pytest.raises(sharding.VersionTaken):
         store.commit(3, [])
     assert store.vacuum() == 3 and store.versions() == [4] and same(store.read()) == same(docs)
+    docs.limit(3).write.parquet(f"{store.path}/runs/left-behind")  # by a job that failed before its commit
+    assert store.vacuum() == 0 and store.vacuum(orphans_after=0) == 1 and same(store.read()) == same(docs)
+
+
+def test_shard_store_when_another_writer_is_first(spark, tmp_path, monkeypatch):
+    docs = docs_of(spark, [(i, "t" * i) for i in range(30)])
+    mine, other = (sharding.ShardStore(spark, str(tmp_path / "s"), docs.schema, fanout=2) for _ in range(2))
+    commit = sharding.ShardStore.commit
+    won = []
+
+    def late(self, version, runs):
+        if self is mine and not won:
+            won.append(other.append(docs.filter("doc_id >= 20")))
+        return commit(self, version, runs)
+
+    monkeypatch.setattr(sharding.ShardStore, "commit", late)
+    assert mine.append(docs.filter("doc_id < 20")) == 2 and mine.read().count() == 30
+    monkeypatch.setattr(sharding.ShardStore, "commit", lambda self, version, runs: commit(self, version - 1, runs))
+    with pytest.raises(sharding.VersionTaken):
+        mine.compact()
+    monkeypatch.undo()
+    assert mine.compact() == 3 and mine.read().count() == 30
+
+
+CLASHING = ["row", "at", "hash", "head", "arrival", "_expected_grade", "__shard", "n_chars", "k", "label"]
+
+
+def test_clashing_columns_come_back(spark):
+    rng = random.Random(23)
+    rows = [(i, prose(rng, 30), *range(len(CLASHING))) for i in range(12)] + [(12, None, *range(len(CLASHING))), (None, "", *range(len(CLASHING)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in CLASHING))
+    ratings = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, "words that nothing has")], "item_id long, text string")
+    same = lambda df: sorted(map(str, df.collect()))
+    assert quality.select(docs, ratings, least=0.0).columns == docs.columns and same(quality.select(docs, ratings, least=0.0)) == same(docs)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and set(same(kept)) <= set(same(docs)) and kept.count() == 13
+    assert same(decontam.clean(docs, items)) == same(docs) and same(linededup.dedup(docs)) == same(docs)
+    assert sharding.report(docs).count() == 14
 
 
 def test_sharding_round_trip(spark, corpus):
@@ -729,3 +786,111 @@ def test_encoder_agrees_with_tokenizers():
     for _ in range(400):
         text = "".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 40)))
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_quality_fit_is_the_likelihoods_maximum():
+    """Against a plain penalised likelihood: no step away from the fit makes it better."""
+    rng = np.random.default_rng(3)
+    n, words = 240, 12
+    y = rng.integers(0, 3, n)
+    places = [np.unique(np.concatenate([rng.integers(0, words, 3), np.full(1, 20 + int(g))])).astype(np.int32) for g in y]
+    values = [np.full(len(p), 0.5, np.float32) for p in places]
+    model = quality.fit(np.concatenate(places), np.concatenate(values), np.cumsum([len(p) for p in places]), y)
+
+    def loss(weights, thresholds):
+        z = np.asarray([float((weights[p] * v).sum()) for p, v in zip(places, values)])
+        tail = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-(z[:, None] - thresholds[None, :]))), np.zeros((n, 1))], 1)
+        return -np.log(np.maximum(tail[np.arange(n), y] - tail[np.arange(n), y + 1], 1e-12)).mean()
+
+    own = loss(model.weights, model.thresholds)
+    base = loss(np.zeros(quality.WIDTH), np.asarray([-np.log(2), np.log(2)]))
+    assert own < 0.5 * base
+    for _ in range(40):  # a penalty pulls to zero, so steps may gain a little, but no more
+        step = np.zeros(quality.WIDTH)
+        step[:words] = rng.normal(size=words)
+        assert loss(model.weights + 0.05 * step, model.thresholds) > own - 0.01
+    assert loss(model.weights, model.thresholds + 1) > own and loss(model.weights, model.thresholds - 1) > own
+
+
+def test_decontamination_against_full_alignment(spark):
+    """Every pair of document and item aligned by force: those at the threshold, and no others, are found."""
+    rng = random.Random(37)
+    many = [f"w{i}" for i in range(60)]  # few words, so that common n-grams are shared by chance
+    items = [(i, prose(rng, rng.randint(4, 30), many)) for i in range(25)]
+    rows = []
+    for i in range(120):
+        words = prose(rng, 60, many).split()
+        if i % 2:
+            part = items[i % 25][1].split()
+            for k in rng.sample(range(len(part)), int(len(part) * rng.choice([0.0, 0.1, 0.2, 0.3]))):
+                part[k] = rng.choice(many)
+            if rng.random() < 0.5:
+                part = part[: max(3, int(len(part) * rng.uniform(0.5, 1)))]
+            words[20:20] = part
+        rows.append((i, " ".join(words)))
+    code = {w: k for k, w in enumerate(many)}
+    ids = lambda t: np.asarray([code[w] for w in t.split()], np.uint64)
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.matches(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    grams = lambda t: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)}
+    want, unseeded = {}, 0
+    for (d, t), (i, item) in itertools.product(rows, items):
+        share = decontam.align(ids(item), ids(t))[0] / (decontam.MATCH * len(item.split()))
+        if share >= decontam.THRESHOLD:
+            if grams(t) & grams(item):
+                want[d, i] = share
+            else:
+                unseeded += 1
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 40
+    # what an n-gram seed cannot see: alignments in which no three words in a row are left
+    assert unseeded <= 0.05 * len(want), unseeded
+
+
+@pytest.fixture(scope="module")
+def long_rows():
+    rng = random.Random(43)
+    vocabulary = [f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(30_000)]
+    lines = [prose(rng, 12, vocabulary) for _ in range(17_000)]
+    whole = "\n".join(lines)
+    assert len(whole) > 1_200_000
+    return [(1, whole), (2, "\n".join([*lines[:8000], "one line that is not there", *lines[8000:]])), (3, prose(rng, 30, vocabulary)), (4, None)]
+
+
+def test_texts_of_a_megabyte(spark, long_rows, tmp_path):
+    docs = docs_of(spark, long_rows)
+    n = [len((t or "").encode()) for _, t in long_rows]
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert [got[i]["n_bytes"] for i in (1, 2, 3, 4)] == n and got[1]["n_removed"] == n[0] and got[2]["n_removed"] >= n[1] - 30 and got[3]["n_removed"] == 0
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")).collect())
+    assert quality.report(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")).count() == 4
+    fps = {r["doc_id"]: r for r in simhash.report(docs).collect()}
+    assert fps[1]["component_id"] == fps[2]["component_id"] == 1 and fps[3]["component_id"] == 3
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {1, 3, 4}
+    assert {r["doc_id"]: r["n_dropped"] for r in linededup.report(docs, min_docs=2).collect()} == {1: 17_000, 2: 0, 3: 0, 4: 0}
+    items = spark.createDataFrame([(7, " ".join(long_rows[0][1].split()[100_000:100_040]))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.matches(docs, items).collect()} == {1, 2}
+    assert {r["doc_id"]: r["n_chars"] for r in fingerprint.grouped(docs).collect()} == {i: len(t or "") for i, t in long_rows}
+    packed = packing.pack(docs, Q.tokenizer_path()).collect()
+    assert sum(r["length"] for r in packed if r["doc_id"] == 4) == 1 and all(r["length"] == 1024 for r in packed if r["piece"])
+    pages = spark.createDataFrame([(1, "http://a.com/de/" + long_rows[0][1][:1_100_000])], "page_id long, url string")
+    assert urlfilter.judge(pages, urlfilter.entries(spark, Q.URL_RULES, [])).first()["verdict"] == "block"
+
+
+@pytest.mark.parametrize("similarity", [0.80, 0.82, 0.85])
+def test_near_duplicates_at_the_threshold(spark, similarity):
+    """Isolated pairs right above the threshold: none is lost, and none right below it is linked."""
+    rng = random.Random(int(similarity * 1000))
+    many = [f"w{i}" for i in range(20_000)]
+    rows, pairs = [], 0
+    for g in range(60):
+        words = [rng.choice(many) for _ in range(rng.randint(60, 300))]
+        base = set(simhash.shingle_hashes(" ".join(words), 5))
+        copy, last = list(words), list(words)
+        for at in rng.sample(range(len(words)), len(words)):
+            copy[at] = f"e{rng.randrange(10**9)}"
+            other = set(simhash.shingle_hashes(" ".join(copy), 5))
+            if len(base & other) < similarity * len(base | other):
+                break
+            last = list(copy)
+        rows += [(3 * g, " ".join(words)), (3 * g + 1, " ".join(last))]
+        pairs += last != words
+    assert {r["doc_id"] for r in simhash.keep_one(docs_of(spark, rows), similarity=similarity).collect()} == kept_by_force(rows, similarity) and pairs > 50
