@@ -15,7 +15,8 @@ they are read, so nothing of the corpus is shuffled.
 
 Defined results: null, empty and word-less texts and items never match; an item
 of fewer words than a seed is its own seed; repeated rows are judged each time;
-items with equal ids are separate items; empty tables give no matches.
+items with equal ids are separate items, equal rows are one; empty tables give
+no matches.
 """
 
 from __future__ import annotations
@@ -211,11 +212,11 @@ def matches_of(items: Items, words: np.ndarray, row: np.ndarray, threshold: floa
 
 def _slices(benchmark: DataFrame) -> Iterator[list[tuple]]:
     """Items (id, text), some MOST_ITEM_WORDS at a time."""
-    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
     words = rows.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
     n = max(1, math.ceil(words / MOST_ITEM_WORDS))
     for i in range(n):
-        yield [(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i).orderBy("item_id", "text").collect()]
+        yield [(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -26,16 +26,18 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, fresh, text_buffers
+from .common import blocks, discard, fold, fresh, store, text_buffers
 
 DIMS = 1 << 14
 WIDTH = DIMS + 256 + 1
 #: Rated documents that are sampled for the fit, by hash of doc_id.
 MOST_RATED = 6_000
+#: Feature values that the sample may have together; the first documents by that hash are taken until there are so many.
+MOST_VALUES = 12_000_000
 STEPS, RATE = 150, 0.15
 #: Bytes that are scored at a time.
 BLOCK = 1 << 20
@@ -136,8 +138,8 @@ def fit(places: np.ndarray, values: np.ndarray, ends: np.ndarray, ratings: np.nd
     return Model([int(g) for g in grades], p[:WIDTH] * scale, np.cumsum(np.concatenate([theta[:1], np.exp(theta[1:])])))
 
 
-def train(docs: DataFrame, ratings: DataFrame, rating_col: str = "quality", most: int = MOST_RATED) -> Model:
-    """Fit on at most `most` rated documents; their sparse features (at most WIDTH values each) are made on the executors."""
+def train(docs: DataFrame, ratings: DataFrame, rating_col: str = "quality", most: int = MOST_RATED, most_values: int = MOST_VALUES) -> Model:
+    """Fit on at most `most` rated documents and most_values feature values (8 bytes each on the driver), which the executors make."""
     clean = ratings.filter(F.col("doc_id").isNotNull() & F.col(rating_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(rating_col).cast("int")).alias("rating"))
     sample = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
@@ -147,7 +149,12 @@ def train(docs: DataFrame, ratings: DataFrame, rating_col: str = "quality", most
             got = [sparse_features(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rating"), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], names=["doc_id", "rating", "places", "values"])
 
-    got = rows.select("doc_id", "rating", "text").mapInArrow(features, "doc_id long, rating int, places binary, values binary").toArrow()
+    made = store(rows.select("doc_id", "rating", "text").mapInArrow(features, "doc_id long, rating int, places binary, values binary").withColumn("size", F.length("values") / 4), "rated-features")
+    # at most `most` ids (more only if rows repeat an id), so one task may add up their sizes
+    ids = made.groupBy("doc_id").agg(F.sum("size").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    fits = ids.withColumn("sum", F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= most_values)
+    got = made.join(F.broadcast(fits.select("doc_id")), "doc_id").select("doc_id", "rating", "places", "values").toArrow()
+    discard(docs.sparkSession, made._scratch_path)
     places = [np.frombuffer(x.as_py(), np.int32) for x in got["places"]]
     values = [np.frombuffer(x.as_py(), np.float32) for x in got["values"]]
     # a fixed order, so that sums come out alike whichever task was first
@@ -183,10 +190,10 @@ def with_grades(docs: DataFrame, model: Model, grade: int | None = None, prefix:
 
 
 def report(docs: DataFrame, ratings: DataFrame, least: float = 0.5) -> DataFrame:
-    """doc_id, expected_grade, tail_probability, selected of every document."""
+    """doc_id, held_out, expected_grade, tail_probability, selected of every document; ratings of fold 0 (crc32 of the id as text, modulo 5) are held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = with_grades(rows, train(docs, ratings))
-    return got.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= least).alias("selected"))
+    got = with_grades(rows, train(docs, ratings.filter(fold(F.col("doc_id")) != 0)))
+    return got.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= least).alias("selected"))
 
 
 def select(docs: DataFrame, ratings: DataFrame, least: float = 0.5) -> DataFrame:

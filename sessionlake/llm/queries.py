@@ -12,7 +12,7 @@ from .common import table
 
 #: (verdict, host, path)
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Listed canonical URLs without a path: whole hosts.
+#: Listed canonical URLs without a path, whole hosts: the unwanted ones among the hosts of the test pages, for want of a public list.
 BLOCKED_URLS = [f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
 
 
@@ -40,7 +40,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.entries(spark, URL_RULES, BLOCKED_URLS))
+    # a list of one's own, a canonical URL on each line, may be named by this setting
+    own = spark.conf.get("spark.sessionlake.blockedUrls", None)
+    listed = urlfilter.entries(spark, URL_RULES, BLOCKED_URLS if own is None else [])
+    if own is not None:
+        listed = listed.unionByName(urlfilter.blocked(spark.read.text(own)))
+    return urlfilter.judge(table(spark, sf_dir, "pages"), listed)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

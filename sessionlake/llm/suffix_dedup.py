@@ -43,7 +43,7 @@ K = 64  # bytes of a minimizer
 #: Bytes that are hashed at a time.
 BLOCK = 1 << 18
 #: Spans with different bytes that a minimizer may have in one shard; further ones go to further shards.
-MOST_IN_SHARD = 2048
+MOST_IN_SHARD = 512
 #: Bytes of spans for which one suffix array is made.
 SHARD_BYTES = 1 << 21
 _LEAST = -(2**63)

@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import itertools
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, store
+from .common import discard, fold, store
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents that are sampled for the fit, by hash of doc_id, half of them for either label; more labels change nothing.
@@ -299,15 +298,6 @@ def example_votes(spark, index, k: int, even: np.ndarray) -> tuple[np.ndarray, n
     return vote[vote >= 0], label[vote >= 0]
 
 
-def fold(c) -> F.Column:
-    """crc32 of the id as text, modulo 5."""
-    return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(5))
-
-
-def fold_of(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % 5
-
-
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, neighbours; labels of fold 0 are held out."""
     got = score(docs, labels.filter(fold(F.col("doc_id")) != 0))

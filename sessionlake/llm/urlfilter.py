@@ -96,7 +96,8 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow", filter_mb
     """
     spark: SparkSession = pages.sparkSession
     # written down, so that the exact join deals it out for itself and a hot entry's partition can be split
-    listed = store(listed.select("entry", "host", "path", "verdict", "shown").dropDuplicates(["entry"]), "url-list")
+    first = F.min_by(F.struct("host", "path", "verdict", "shown"), F.struct(F.col("shown").isNull(), "verdict")).alias("x")  # a rule comes before a blocked URL
+    listed = store(listed.groupBy("entry").agg(first).select("entry", "x.*"), "url-list")
     about = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths"), F.max(F.size(F.split("host", r"\."))).alias("labels")).first()  # as many lengths as listed paths have
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     if not about["n"]:
@@ -136,6 +137,14 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow", filter_mb
     )
 
 
+def blocked(urls: DataFrame) -> DataFrame:
+    """Entries of a table whose first column lists blocked canonical URLs (host, or host/path); empty lines count for nothing."""
+    url = F.trim(F.col(urls.columns[0]))
+    host = ascii_lower(F.substring_index(url, "/", 1))
+    path = F.substr(url, F.length(F.substring_index(url, "/", 1)) + 1)
+    return urls.select(F.concat(host, path).alias("entry"), host.alias("host"), path.alias("path"), F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("shown")).filter(F.col("entry") != "")
+
+
 def entries(spark: SparkSession, rules: list[tuple[str, str, str]], blocked: list[str]) -> DataFrame:
     """The list of rules (verdict, host, path) and of blocked canonical URLs; a rule comes before a blocked URL."""
     rows = [(h + p, h, p, v, h + p) for v, h, p in rules]

@@ -453,8 +453,8 @@ def test_url_filter_with_a_long_list(spark):
         return any(".".join(labels[k:]) + path[:n] in known for k in range(len(labels)) for n in range(len(path) + 1))
 
     table = spark.createDataFrame(pages, "page_id long, url string")
-    for mb in (64, 2e-3):
-        got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(table, urlfilter.entries(spark, [], listed), filter_mb=mb).collect()}
+    for mb, entries in ((64, urlfilter.entries(spark, [], listed)), (2e-3, urlfilter.blocked(spark.createDataFrame([(f" {u} ",) for u in [*listed, ""]], "url string")))):
+        got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(table, entries, filter_mb=mb).collect()}
         assert got == {i: "block" if blocked(u) else "allow" for i, u in pages}
 
 
