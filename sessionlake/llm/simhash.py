@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, mix, partitions, store
+from .common import ASCII_LOWER, ASCII_UPPER, made, mix, partitions, release, store
 from .components import components
 
 SEED = 42
@@ -392,7 +392,8 @@ def links(nodes: DataFrame, planes: int, keys, radius: int, pairs: bool = False)
                 again = pa.array(np.repeat(np.arange(len(fp)), k.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64).ravel()), *(part.column(n).take(again) for n in ("node", *names))], names=["key", "node", *names])
 
-    placed = _in_buckets(nodes.select("node", *names), spread, {n: "long" for n in ("node", *names)})
+    keyed = lambda df: df.select("node", *names).mapInArrow(spread, f"key long, node long, {planes_schema(planes)}")
+    placed = _in_buckets(keyed(nodes), keyed(nodes.filter(_sampled())), ["node", *names])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_buckets(batches):
@@ -409,12 +410,17 @@ def links(nodes: DataFrame, planes: int, keys, radius: int, pairs: bool = False)
     return placed.mapInArrow(join, "u long, v long").distinct()
 
 
-def _in_buckets(nodes: DataFrame, spread, columns: dict[str, str]) -> DataFrame:
-    """bucket, side and the columns: the rows (key, columns) that spread makes of nodes, in order of buckets; hot keys are dealt out in a grid."""
-    schema = "key long, " + ", ".join(f"{c} {t}" for c, t in columns.items())
-    keyed = nodes.mapInArrow(spread, schema)
-    # which buckets are hot is judged by every 16th node; a bucket judged wrongly only makes its task longer or shorter
-    seen = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(16)) == 0).mapInArrow(spread, schema)
+def _sampled() -> F.Column:
+    """Every 16th node."""
+    return F.pmod(F.xxhash64("node"), F.lit(16)) == 0
+
+
+def _in_buckets(keyed: DataFrame, seen: DataFrame, columns: list[str]) -> DataFrame:
+    """bucket, side and the columns of keyed (key, node and others), in order of buckets; hot keys are dealt out in a grid.
+
+    seen: the rows of every 16th node, by which hot buckets are told; a bucket
+    judged wrongly only makes its task longer or shorter.
+    """
     hot = store(seen.groupBy("key").count().filter(F.col("count") * 16 > MOST_IN_TASK).select(F.col("key").alias("hot"), F.ceil(F.col("count") * 16 / MOST_IN_TASK).alias("g")), "hot-buckets")
     dealt = keyed.join(F.broadcast(hot) if hot.count() <= MOST_BROADCAST_BUCKETS else hot, F.col("key") == F.col("hot"), "left")
     own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
@@ -423,7 +429,7 @@ def _in_buckets(nodes: DataFrame, spread, columns: dict[str, str]) -> DataFrame:
     )
     placed = dealt.withColumn("cell", F.explode(cells)).select(F.xxhash64("key", "cell.x", "cell.y").alias("bucket"), F.col("cell.side").alias("side"), *columns)
     # a bucket of one node has no pairs; its row is dropped after the shuffle, in the task
-    return placed.repartition(partitions(nodes.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
+    return placed.repartition(partitions(keyed.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -471,8 +477,6 @@ def prefix_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     Pairs that share a shingle of their prefixes are left out only if their
     sizes, the places of that shingle or the parities rule the similarity out.
     """
-    columns = {c: "long" for c in ("node", "label", "size", "place", *PARITY)}
-
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -480,9 +484,14 @@ def prefix_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
                 keys = [np.frombuffer(x.as_py(), np.int64) for x in part.column("prefix")]
                 n = np.asarray([len(k) for k in keys])
                 again = pa.array(np.repeat(np.arange(len(n)), n))
-                cols = {"key": pa.array(np.concatenate(keys))} | {c: part.column(c).take(again) for c in columns if c != "place"}
-                cols["place"] = pa.array(np.concatenate([np.arange(k) for k in n]).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([cols[c] for c in ("key", *columns)], names=["key", *columns])
+                place = np.concatenate([np.arange(k) for k in n]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column("node").take(again), part.column("label").take(again), pa.array(place)], names=["key", "node", "label", "place"])
+
+    # most shingles have one label only and no pair to offer; they are told by a narrow aggregate before wide rows move
+    keyed = nodes.select("node", "label", "prefix").mapInArrow(spread, "key long, node long, label long, place long")
+    labels = keyed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    shared = store(labels.filter("least < most").select("key"), "shared-shingles")
+    rows = store(keyed.join(shared, "key", "left_semi").join(nodes.select("node", "size", *PARITY), "node"), "shared-shingle-rows")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_buckets(batches):
@@ -500,7 +509,8 @@ def prefix_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
                     a, b = node[i[ok]], node[j[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
 
-    return _in_buckets(nodes.select("node", "label", "size", "prefix", *PARITY), spread, columns).mapInArrow(join, "u long, v long").distinct()
+    placed = _in_buckets(rows, rows.filter(_sampled()), ["node", "label", "size", "place", *PARITY])
+    return placed.mapInArrow(join, "u long, v long").distinct()
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -555,9 +565,13 @@ def near_duplicates(docs: DataFrame, words: int, radius: int, planes: int = 1, a
     keys = block_keys(n, radius) if agree is None else sampled_keys(n, planes, agree)
     found = links(nodes, planes, keys, radius, pairs=similarity is not None)
     if similarity is not None:
-        joined = components(similar_links(docs, nodes, store(found, "near-pairs"), words, similarity))
-        labelled = nodes.join(joined, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        rest = similar_links(docs, nodes, store(prefix_pairs(labelled, similarity), "prefix-pairs"), words, similarity)
+        since = made()
+        joined = store(components(similar_links(docs, nodes, store(found, "near-pairs"), words, similarity)), "joined-nodes")
+        release(docs.sparkSession, since, keep=(joined._scratch_path,))  # what the search itself had put down
+        since = made()
+        labelled = store(nodes.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "size", "prefix", *PARITY), "labelled-nodes")
+        rest = store(similar_links(docs, nodes, store(prefix_pairs(labelled, similarity), "prefix-pairs"), words, similarity), "more-links")
+        release(docs.sparkSession, since, keep=(rest._scratch_path,))
         found = joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest)
     rooted = nodes.join(components(found), "node")
     # written down, so that a giant component, or a text with very many copies, can be split where it is joined
