@@ -62,6 +62,8 @@ N_PIVOTS = 16
 MOST_IN_TASK = 4096
 #: A table of up to so many hot buckets (16 bytes each) is broadcast; a longer one is shuffled.
 MOST_BROADCAST_BUCKETS = 200_000
+#: The same for shingles that several components share (8 bytes each).
+MOST_BROADCAST_SHINGLES = 1_000_000
 #: The same for the nodes that near pairs name (24 bytes each).
 MOST_BROADCAST_NODES = 500_000
 #: Documents that tell which shingles are frequent, and most of such shingles that are told apart; only the work depends on them.
@@ -484,14 +486,15 @@ def prefix_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
                 keys = [np.frombuffer(x.as_py(), np.int64) for x in part.column("prefix")]
                 n = np.asarray([len(k) for k in keys])
                 again = pa.array(np.repeat(np.arange(len(n)), n))
-                place = np.concatenate([np.arange(k) for k in n]).astype(np.int64)
+                place = np.concatenate([np.arange(k) for k in n]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column("node").take(again), part.column("label").take(again), pa.array(place)], names=["key", "node", "label", "place"])
 
     # most shingles have one label only and no pair to offer; they are told by a narrow aggregate before wide rows move
-    keyed = nodes.select("node", "label", "prefix").mapInArrow(spread, "key long, node long, label long, place long")
+    keyed = nodes.select("node", "label", "prefix").mapInArrow(spread, "key long, node long, label long, place int")
     labels = keyed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
     shared = store(labels.filter("least < most").select("key"), "shared-shingles")
-    rows = store(keyed.join(shared, "key", "left_semi").join(nodes.select("node", "size", *PARITY), "node"), "shared-shingle-rows")
+    met = keyed.select("key", "node", "place").join(F.broadcast(shared) if shared.count() <= MOST_BROADCAST_SHINGLES else shared, "key", "left_semi")
+    rows = store(met.join(nodes.select("node", "label", "size", *PARITY), "node"), "shared-shingle-rows")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_buckets(batches):
