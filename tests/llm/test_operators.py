@@ -198,6 +198,21 @@ def test_toxicity_held_out(spark):
     assert any(r["neighbours"] for r in got.values())
 
 
+def test_toxicity_terms_put_inflected_forms_together(spark):
+    assert toxicity.words_of("Foulness foul2fouls \u00dcbel\u00e4, x_y") == ["foul", "foul", "foul", "\u00fcbel", "x", "y"]
+    rng = random.Random(19)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    end = lambda: "".join(rng.choices(letters, k=6))
+    # no two documents share a whole bad word
+    rows, labels = [], []
+    for i in range(400):
+        bad = rng.random() < 0.3
+        rows.append((i, prose(rng, 30) + "".join(f" vile{end()}" for _ in range(3 * bad))))
+        labels.append((i, int(bad)))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.report(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).filter("held_out").collect()}
+    assert sum(got[i] == y for i, y in labels if i in got) / len(got) > 0.95
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     rows, labels = toxic_corpus(300)
     flipped = [(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, y in labels]
