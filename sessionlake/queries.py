@@ -8,11 +8,15 @@ documents for text of all kinds.
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import shutil
+import sqlite3
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +30,10 @@ from .operators import normalize as N
 from .operators.merge import Store, last_of_key, merge_rows, sessions_of
 from .plans import reports
 from .plans.ingest import source_counts
+from .plans.scan import write_csv
 from .schema import EVENT_KEY, REGISTRY_SCHEMA
 from .sources import headers as H
+from .sources import kv as K
 from .sources import lines as L
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,6 +274,12 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.stats(call_sessions(e), e)
 
 
+@query("""SELECT * FROM (VALUES (0, 'tool_call', NULL), (1, 'user_message', NULL), (2, 'user_message', 'prompt'), (3, 'user_message', 'slash_command'), (4, 'user_message', 'tool_result'), (5, 'user_message', 'permission_denied'),
+  (6, 'assistant_message', NULL), (7, 'assistant_message', 'response'), (8, 'assistant_message', 'dialog'), (9, 'assistant_message', 'truncated')) t(pos, event_type, subtype)""")
+def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.taxonomy(spark)
+
+
 @query(f"WITH {_CALLS} SELECT session_id, timestamp, tool_name, row_number() OVER (ORDER BY timestamp NULLS FIRST, session_id) AS place FROM calls WHERE subtype = 'permission_denied'")
 def permissions_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_order(reports.permissions(calls(spark, sf_dir)))
@@ -414,6 +426,168 @@ def store_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.not_ingested(logs.select("file_path", F.when(changed, 6.0).otherwise(5.0).alias("mtime")), store.manifest())
 
 
+# sources, over files that the tables are written to first
+
+
+def plain_dir(spark: SparkSession, name: str) -> str:
+    """scratch_dir as a path for Python's own files."""
+    return re.sub("^file:/+", "/", scratch_dir(spark, name))
+
+
+def _written(spark: SparkSession, rows: DataFrame, parts: int) -> DataFrame:
+    """Text files of rows (part, below `parts`; place; line), one for each part; their listing, and part."""
+    folder = scratch_dir(spark, "files")
+    rows.repartition(parts, "part").sortWithinPartitions("part", "place").select("part", "line").write.partitionBy("part").text(folder)
+    return L.listing(spark, folder, recursive=True, pattern="*.txt").withColumn("part", _part("file_path"))
+
+
+def _part(path: str) -> F.Column:
+    return F.regexp_extract(path, "part=([0-9]+)", 1).cast("long")
+
+
+def _paths(files: DataFrame) -> list[str]:
+    return [r["file_path"] for r in files.select("file_path").collect()]  # a row for each part
+
+
+def _log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four logs of turns; every fourth turn is no JSON, every fifth an empty line."""
+    turn = F.col("turn")
+    line = F.when(turn % 5 == 4, "").when(turn % 4 == 3, "no record").otherwise(_members(conv=F.col("conv_id"), turn=turn, text=F.col("text")))
+    c = table(spark, sf_dir, "conversations")
+    return _written(spark, c.select((F.col("conv_id") % 4).alias("part"), F.struct("conv_id", "turn").alias("place"), line.alias("line")), 4)
+
+
+_LOG = "log AS (SELECT *, conv_id % 4 AS part, row_number() OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn) AS line_no FROM conversations)"
+
+
+@query(f"WITH {_LOG} SELECT part, line_no, conv_id, turn, text FROM log WHERE turn % 5 <> 4 AND turn % 4 <> 3")
+def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = L.records(L.numbered_lines(spark, _paths(_log_files(spark, sf_dir))))
+    field = lambda name, kind: F.try_variant_get("record", f"$.{name}", kind)
+    return r.select(_part("file_path").alias("part"), "line_no", field("conv", "long").alias("conv_id"), field("turn", "long").alias("turn"), field("text", "string").alias("text"))
+
+
+@query(f"WITH {_LOG} SELECT part, count(*) AS rejected FROM log WHERE turn % 5 <> 4 AND turn % 4 = 3 GROUP BY part")
+def log_lines_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.rejected(L.numbered_lines(spark, _paths(_log_files(spark, sf_dir)))).select(_part("file_path").alias("part"), "rejected")
+
+
+@query("""WITH f AS (SELECT user_id % 8 AS part, CAST(sum(length(event_type) + 1) AS BIGINT) AS size FROM events GROUP BY 1)
+SELECT part, size, true AS dated FROM f WHERE size >= (SELECT CAST(avg(size) AS BIGINT) FROM f)""")
+def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of eight files those of the average size or more."""
+    e = table(spark, sf_dir, "events")
+    files = _written(spark, e.select((F.col("user_id") % 8).alias("part"), F.col("event_id").alias("place"), F.col("event_type").alias("line")), 8)
+    least = files.agg(F.round(F.avg("size")).cast("long").alias("least")).first()["least"]
+    return L.large_enough(files, least or 0).select("part", "size", (F.col("mtime") > 1.7e9).alias("dated"))
+
+
+@query("SELECT CAST(n_regionkey AS BIGINT) AS part, '/w/' || n_name AS \"projectPath\", CAST(n_nationkey AS VARCHAR) AS \"sessionId\", CASE WHEN n_nationkey % 3 > 0 THEN CAST(n_nationkey * 1000 AS DOUBLE) END AS \"fileMtime\", CAST(n_nationkey AS BIGINT) AS \"messageCount\", n_nationkey % 4 = 0 AS \"isSidechain\" FROM nation")
+def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index for each region, which lists its nations."""
+    key = F.col("n_nationkey")
+    entry = F.struct(F.concat(F.lit("/w/"), "n_name").alias("projectPath"), key.cast("string").alias("sessionId"), F.when(key % 3 > 0, key * 1000).alias("fileMtime"), key.alias("messageCount"), (key % 4 == 0).alias("isSidechain"))
+    docs = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("part")).agg(_members(version=F.lit(1), entries=F.collect_list(entry)).alias("line"))  # 25 nations
+    files = _written(spark, docs.withColumn("place", F.lit(0)), 5)
+    return H.session_index(spark, _paths(files)).select(_part("index_path").alias("part"), "projectPath", "sessionId", "fileMtime", "messageCount", "isSidechain")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS part, '/w/' || n_name AS folder FROM nation WHERE n_nationkey % 3 < 2")
+def workspace_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A descriptor for each nation: its folder is a text, an object, or not there."""
+    key, uri = F.col("n_nationkey"), F.concat(F.lit("file:///w/"), "n_name")
+    line = F.when(key % 3 == 0, _members(folder=uri)).when(key % 3 == 1, _members(folder=F.struct(uri.alias("path")))).otherwise("{}")
+    files = _written(spark, table(spark, sf_dir, "nation").select(key.alias("part"), F.lit(0).alias("place"), line.alias("line")), 25)
+    return H.workspaces(spark, _paths(files)).select(_part("descriptor").alias("part"), "folder")
+
+
+@query("""WITH f AS (SELECT *, n_nationkey % 7 AS part, row_number() OVER (PARTITION BY n_nationkey % 7 ORDER BY n_nationkey) AS line_no FROM nation)
+SELECT CAST(part AS BIGINT) AS part, '/w/' || n_name AS cwd, CAST(CASE WHEN part % 3 < 2 THEN 1700000000000 + CAST(n_nationkey AS BIGINT) * 1000 ELSE 0 END AS DOUBLE) AS ts FROM f WHERE line_no = 1 AND part < 6""")
+def first_line_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven logs whose every line is a header, but for the last log; only first lines count."""
+    key = F.col("n_nationkey")
+    part, seconds = key % 7, F.lit(1_700_000_000) + key
+    payload = F.struct(F.concat(F.lit("/w/"), "n_name").alias("cwd"))
+    kind = F.when(part == 6, "event_msg").otherwise("session_meta")
+    line = (
+        F.when(part % 3 == 0, _members(type=kind, timestamp=seconds.cast("long"), payload=payload))
+        .when(part % 3 == 1, _members(type=kind, timestamp=F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'"), payload=payload))
+        .otherwise(_members(type=kind, payload=payload))
+    )
+    files = _written(spark, table(spark, sf_dir, "nation").select(part.alias("part"), key.alias("place"), line.alias("line")), 7)
+    return H.first_line_headers(spark, _paths(files)).select(_part("file_path").alias("part"), "cwd", "ts")
+
+
+def _kv_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Key/value stores, one from each of four tasks.
+
+    Messages' values are JSON, every sixth in base64, every sixth no JSON and
+    every sixth null; a composer has a conversation, a folder, or a null value.
+    """
+    folder, turn, conv = plain_dir(spark, "kv"), F.col("turn"), F.col("conv_id")
+    c = table(spark, sf_dir, "conversations")
+    data = _members(type=F.lit(1), text=F.col("text"))
+    value = F.when(turn % 6 == 4, F.base64(F.encode(data, "utf-8"))).when(turn % 6 == 3, "junk{").when(turn % 6 != 5, data)
+    said = c.select("conv_id", F.concat(F.lit("bubbleId:c"), conv.cast("string"), F.lit(":b"), turn.cast("string")).alias("key"), value.alias("value"))
+    known = F.when(conv % 3 == 0, _members(conversation=F.array(F.lit(1)), projectPath=F.concat(F.lit("/w/p"), (conv % 5).cast("string")))).when(conv % 3 == 1, _members(conversation=F.array().cast("array<int>"), folder=F.lit("/f")))
+    composers = c.select("conv_id").distinct().select("conv_id", F.concat(F.lit("composerData:c"), conv.cast("string")).alias("key"), known.alias("value"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/{uuid.uuid4().hex}.vscdb"  # of its own for each attempt; only those of finished tasks are named
+        with sqlite3.connect(path) as db:
+            db.execute("CREATE TABLE cursorDiskKV (key TEXT UNIQUE ON CONFLICT REPLACE, value BLOB)")
+            for b in batches:
+                db.executemany("INSERT INTO cursorDiskKV VALUES (?, ?)", zip(b.column("key").to_pylist(), b.column("value").to_pylist()))
+        db.close()
+        yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    rows = said.unionByName(composers).repartition(4, "conv_id").select("key", "value")
+    return [r["path"] for r in rows.mapInArrow(write, "path string").collect()]  # four rows
+
+
+@query("SELECT 'c' || conv_id AS composer_id, 'b' || turn AS bubble_id, text AS said FROM conversations WHERE turn % 6 NOT IN (3, 5)")
+def kv_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.bubbles(spark, _kv_files(spark, sf_dir)).select("composer_id", "bubble_id", F.try_variant_get("data", "$.text", "string").alias("said"))
+
+
+@query("SELECT count(DISTINCT conv_id) AS sessions, count(*) AS events FROM conversations")
+def kv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.metrics(spark, _kv_files(spark, sf_dir)).agg(F.sum("sessions").alias("sessions"), F.sum("events").alias("events"))
+
+
+@query("""SELECT 'c' || conv_id AS composer_id, conv_id % 3 = 2 AS value_null, false AS decode_error, conv_id % 3 = 0 AS has_conversation, CASE WHEN conv_id % 3 = 1 THEN '/f' END AS folder,
+  CASE WHEN conv_id % 3 = 0 THEN '/w/p' || conv_id % 5 END AS "projectPath", CASE conv_id % 3 WHEN 0 THEN 'conversation,projectPath' WHEN 1 THEN 'conversation,folder' END AS top_keys FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def kv_composers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = K.composers(spark, _kv_files(spark, sf_dir)).withColumn("top_keys", F.array_join("top_keys", ","))
+    return got.select("composer_id", "value_null", "decode_error", "has_conversation", "folder", "projectPath", "top_keys")
+
+
+@query("""WITH s AS (SELECT '/' || source AS path, count(*) AS n, sum(n_chars) AS chars, bool_or(lang = 'es') AS seen FROM documents GROUP BY source)
+SELECT path, CASE WHEN path LIKE '%3' THEN '2025-01-01' END AS last_ingestion, CASE WHEN path LIKE '%3' THEN n END AS ingested, CASE WHEN path NOT LIKE '%2' THEN n END AS sessions, CASE WHEN path NOT LIKE '%2' THEN CAST(chars AS BIGINT) END AS events,
+  CASE WHEN seen THEN '2025-01-03' END AS last_seen, CASE WHEN path LIKE '%3' THEN '2025-01-01' WHEN path NOT LIKE '%2' THEN '2025-01-02' ELSE '' END AS shown FROM s WHERE path LIKE '%3' OR path NOT LIKE '%2' OR seen""")
+def registry_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry after an ingest, a query and a walk, saved and read back."""
+    d = table(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("/"), "source"))
+    per = d.groupBy("path").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    one = F.struct(F.col("n").alias("sessions"), F.col("chars").cast("long").alias("events"), F.lit("2025-01-01").alias("last_ingestion"))
+    empty = spark.createDataFrame([], REGISTRY_SCHEMA)
+    got = R.merge_sources(empty, per.filter("path LIKE '%3'").select("path", F.create_map(F.lit("CC"), one).alias("new_sources")), "2025-01-01")
+    got = R.merge_query(got, per.filter("path NOT LIKE '%2'").select("path", F.col("n").alias("n_sessions"), F.col("chars").cast("long").alias("n_events")), "2025-01-02")
+    got = R.mark_seen(got, d.filter("lang = 'es'").select("path"), "2025-01-03")
+    folder = plain_dir(spark, "registry")
+    R.save(got, folder, "2025-01-04")
+    return R.load(spark, folder).select("path", "last_ingestion", F.col("sources")["CC"]["sessions"].alias("ingested"), "query.sessions", "query.events", "walk.last_seen", R.shown_time().alias("shown"))
+
+
+@query("SELECT '/' || source AS full_path, lang AS vendor, count(*) AS sess, round(sum(n_chars) / 1048576, 2) AS mb FROM documents GROUP BY source, lang")
+def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan's rows, written as CSV and read back."""
+    path = f"{plain_dir(spark, 'csv')}/scan.csv"
+    write_csv(_scan_rows(spark, sf_dir), ["full_path", "vendor", "sess", "mb", "span_weeks"], path)
+    return spark.read.csv(path, header=True, schema="full_path string, vendor string, sess long, mb double, span_weeks double").drop("span_weeks")
+
+
 # text
 
 _DIRTY = "concat(text, chr(13), chr(10), chr(27), '[1;31mred', chr(27), '[0m', chr(13), chr(0), 'x', chr(9), chr(7), chr(127), 'y')"
@@ -425,6 +599,25 @@ def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.sanitize(F.expr(_DIRTY)).alias("cleaned"))
 
 
+_CLEAN_SQL = f"""regexp_replace(regexp_replace(replace(replace({_DIRTY}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\x1b\\[[0-9;]*[a-zA-Z]', '', 'g'), '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g')"""
+
+
+@query(f"WITH c AS (SELECT doc_id, {_CLEAN_SQL} AS text FROM documents) SELECT doc_id, CASE WHEN length(text) > 512 THEN substring(text, 1, 511) || '…' ELSE text END AS shown FROM c")
+def display_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.for_display(F.encode(F.expr(_DIRTY), "utf-8")).alias("shown"))
+
+
+# the escape in the middle of the secret goes before secrets are looked for
+_HIDDEN = "concat(text, chr(13), ' sk-abcdefghij', chr(27), '[0m', repeat('k9', 8), ' sk-short')"
+
+
+@query(f"""WITH c AS (SELECT doc_id, regexp_replace(replace(replace({_HIDDEN}, chr(13), chr(10)), chr(27) || '[0m', ''), '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g') AS text FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)sk-[a-z0-9]{{20,}}', '[REDACTED]', 'g'),
+  '(?i)api[_-]?key["'']?\\s*[:=]\\s*["'']?[a-z0-9_\\-]{{20,}}', '[REDACTED]', 'g'), '(?i)bearer\\s+[a-z0-9_\\-.]{{20,}}', '[REDACTED]', 'g') AS cleaned FROM c""")
+def clean_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean(F.expr(_HIDDEN), hide_secrets=True).alias("cleaned"))
+
+
 _SECRET = "concat(text, ' sk-', repeat('a1', 12), ' API_KEY = \"', repeat('Zz9_', 6), '\" Bearer  ', repeat('q.-', 9), ' sk-short')"
 
 
@@ -486,6 +679,21 @@ def timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", C.iso_ms(iso).alias("from_text"), C.seconds_or_ms(number).alias("scaled"), C.days_ago(us / F.lit(1000.0), 1893456000000.0).alias("days_ago"))
 
 
+_STAMPS = """CASE user_id % 5 WHEN 0 THEN '{"timestamp":' || ms || '}' WHEN 1 THEN '{"timestamp":"' || iso || '"}' WHEN 2 THEN '{"message":{"timestamp":"' || iso || '"}}'
+  WHEN 3 THEN '{"timestamp":0,"message":{"timestamp":' || ms || '}}' ELSE '{"timestamp":"soon","message":{"timestamp":' || ms || '}}' END"""
+
+
+@query("""WITH e AS (SELECT event_id, user_id % 5 AS k, CAST(epoch_us(ts) // 1000 AS DOUBLE) AS ms FROM events)
+SELECT event_id, CASE WHEN k < 4 THEN ms END AS of_record, CASE k WHEN 0 THEN ms WHEN 3 THEN 0 END AS of_envelope, CASE WHEN k < 2 THEN ms WHEN k = 3 THEN 0 END AS of_scan FROM e""")
+def record_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of records: numbers, texts, those of the message, and ones that can't be read."""
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", ms.alias("ms"), F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("iso"))
+    v = e.select("event_id", F.parse_json(F.expr(_STAMPS)).alias("v"))
+    own = F.try_variant_get("v", "$.timestamp", "variant")
+    return v.select("event_id", C.record_ms(F.col("v")).alias("of_record"), C.envelope_ms(own).alias("of_envelope"), C.envelope_ms(own, read_text=True).alias("of_scan"))
+
+
 # merges
 
 
@@ -563,6 +771,15 @@ def path_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("path", P.path_slug(F.col("path")).alias("slug"), P.slug_path(P.path_slug(F.col("path"))).alias("decoded"))
 
 
+@query(f"""WITH {_PATHS}, r AS (SELECT *, regexp_extract(path, '^/[^/]+', 0) || '/en' AS folder FROM paths)
+SELECT path, path = folder OR starts_with(path, folder || '/') AS below, substring(path, 2) AS rel FROM r""")
+def project_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which paths are a project's folder, or lie in it at a folder boundary."""
+    p = page_paths(spark, sf_dir)
+    folder = F.concat(F.regexp_extract("path", "^/[^/]+", 0), F.lit("/en"))
+    return p.select("path", P.is_below(F.col("path"), folder).alias("below"), P.relative(F.concat(F.lit("/w"), "path"), "/w").alias("rel"))
+
+
 _MOVED = "CASE page_id % 6 WHEN 0 THEN 'OLD/' || page_id WHEN 1 THEN 'a/OLD/b' || page_id WHEN 2 THEN 'Saved' || page_id WHEN 3 THEN 'MCP/MCPs' WHEN 4 THEN 'Claude' ELSE 'ok/' || page_id END"
 
 
