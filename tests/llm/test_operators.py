@@ -4,14 +4,17 @@ import collections
 import hashlib
 import itertools
 import random
+import time
 import unicodedata
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from sessionlake.llm import components, decontam, fingerprint, linededup, packing, quality, sharding, simhash, suffix_dedup, toxicity, urlfilter
+from sessionlake.llm import common, components, decontam, fingerprint, linededup, packing, quality, sharding, simhash, suffix_dedup, toxicity, urlfilter
 from sessionlake.llm import queries as Q
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -909,3 +912,38 @@ def test_near_duplicates_at_the_threshold(spark, similarity):
         rows += [(3 * g, " ".join(words)), (3 * g + 1, " ".join(last))]
         pairs += last != words
     assert {r["doc_id"] for r in simhash.keep_one(docs_of(spark, rows), similarity=similarity).collect()} == kept_by_force(rows, similarity) and pairs > 50
+
+
+def shuffle_bytes(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum(p.stat().st_size for d in manager.localDirs() for p in Path(str(d)).rglob("shuffle_*.data"))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    rows = spark.range(200_000).select(F.col("id"), F.xxhash64("id").alias("h"))
+    before, set_before = shuffle_bytes(spark), spark.conf.get(common.SHUFFLE_CLEANUP, None)
+    got = common.store(rows.repartition(4, "h").groupBy("h").agg(F.max("id").alias("top")), "grouped")
+    for _ in range(50):  # files are deleted beside the program
+        if shuffle_bytes(spark) <= before:
+            break
+        time.sleep(0.2)
+    assert shuffle_bytes(spark) <= before
+    assert got.count() == 200_000 and spark.conf.get(common.SHUFFLE_CLEANUP, None) == set_before
+
+
+def test_near_duplicates_in_passes(spark, monkeypatch):
+    """Rows that are dealt out at a time stay below the bound, and passes together find what one search finds."""
+    monkeypatch.setattr(simhash, "PASS_BYTES", 1 << 17, raising=False)
+    monkeypatch.setattr(simhash, "PASS_SHARE", 0, raising=False)
+    rows = edited_variants(random.Random(6), 8, 20, (3, 7)) + edited_variants(random.Random(7), 60, 2, (6, 12))
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    dealt, plain = [], simhash._in_buckets
+
+    def counted(*args):
+        placed = plain(*args)
+        dealt.append(placed.count() * len(placed.columns) * 8)
+        return placed
+
+    monkeypatch.setattr(simhash, "_in_buckets", counted)
+    assert {r["doc_id"] for r in simhash.keep_one(docs_of(spark, rows)).collect()} == kept_by_force(rows)
+    assert max(dealt) < 1.5 * (1 << 17) and sum(dealt) > 5 * (1 << 17)
