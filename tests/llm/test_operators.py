@@ -89,6 +89,29 @@ def test_suffix_array_and_prefixes():
         assert lcp.tolist() == [min(40, x) for x in force]
 
 
+def test_window_classes_compare_no_bytes_beyond_a_member(monkeypatch):
+    rng = random.Random(2)
+    copies = [bytes(rng.choice(b"abcd") for _ in range(120))] * 60
+    near = [copies[0][:50] + bytes([rng.choice(b"abc")]) + copies[0][51:] for _ in range(9)]
+    everything = bytes(rng.randrange(256) for _ in range(600))
+    sorted_ = []
+    for name in ("sort", "argsort"):
+        monkeypatch.setattr(np, name, lambda a, *args, f=getattr(np, name), **kw: sorted_.append(len(a)) or f(a, *args, **kw))
+    for members in (copies, near, [b"ab" * 90, b"b" + b"ab" * 80, b"a" * 150, b"a" * 140], [everything, everything[100:] + b"\0" * 90]):
+        sorted_.clear()
+        cls, member, start, size = suffix_dedup.window_classes(members, 30)
+        got = collections.defaultdict(set)
+        for c, m, i in zip(cls.tolist(), member.tolist(), start.tolist()):
+            got[c].add((m, i))
+        want = collections.defaultdict(set)
+        for m, b in enumerate(members):
+            for i in range(len(b) - 29):
+                want[b[i : i + 30]].add((m, i))
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and [len(got[c]) for c in range(len(size))] == size.tolist()
+        # doubling ends with the longest member, however many equal ones stand in a row
+        assert sum(sorted_) <= 6 * sum(len(b) + 1 for b in members)
+
+
 # 2
 
 
